@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigrain.llm import exact_dedup, language_id, license_scan, mixing, packing
+from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, mixing, packing
 from verdigrain.session import table
 
 
@@ -35,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=["doc_id"]).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1))
 
