@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, mixing, packing
+from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, media_jpeg, mixing, packing
+from verdigrain.llm.shared import stored
 from verdigrain.session import table
 
 
@@ -47,6 +48,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(media_jpeg.store(table(spark, sf_dir, "documents")), "media")
+    found = media_jpeg.features(media)
+    feature = F.concat_ws(":", F.concat("width", F.lit("x"), "height"), "thumb_hash")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "thumb_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
