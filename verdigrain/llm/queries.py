@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, media_jpeg, mixing, packing
+from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, media_jpeg, mixing, packing, warc
 from verdigrain.llm.shared import stored
 from verdigrain.session import table
 
@@ -55,6 +55,11 @@ def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "thumb_hash")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(warc.converted(table(spark, sf_dir, "pages")))
+    return warc.revisits(warc.read_archives(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
