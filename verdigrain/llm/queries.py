@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigrain.llm import exact_dedup, jaccard_join, language_id, license_scan, media_jpeg, mixing, packing, warc
+from verdigrain.llm import exact_dedup, html_crf, jaccard_join, language_id, license_scan, media_jpeg, mixing, packing, secrets, warc
 from verdigrain.llm.shared import stored
 from verdigrain.session import table
 
@@ -60,6 +60,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits(warc.read_archives(spark, path))
 
 
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
