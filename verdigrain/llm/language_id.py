@@ -131,6 +131,14 @@ def fit(df: DataFrame, *, where: Column | None = None, id_column: str = "doc_id"
     return LanguageModel.fitted([r[2] for r in found], [r[1] for r in found], **parameters)
 
 
+def identified_rows(df: DataFrame, model: LanguageModel, *, least: float = 0.0, text_column: str = "text") -> DataFrame:
+    """The rows whose language can be told, with a score of at least `least`, with all their columns."""
+    inner = {c: f"__own_{k}" for k, c in enumerate(df.columns)}
+    found = identify(df.toDF(*inner.values()), model, text_column=inner[text_column])
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.col(own).alias(c) for c, own in inner.items()])
+
+
 def identify(df: DataFrame, model: LanguageModel, *, text_column: str = "text", keep: list[str] | None = None, batch: int = 64) -> DataFrame:
     """Add lang_pred and score to the columns of `keep` (all, if none are named); columns of those names are replaced."""
     on_workers(df.sparkSession)

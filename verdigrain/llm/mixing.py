@@ -60,14 +60,12 @@ def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def mix(df: DataFrame, *, weights: tuple[float, ...], id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", most: float = 3.0) -> DataFrame:
-    """Each row's id, size, source_size, target, taken (words, with repeats)."""
-    rows = stored(df.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), size_of(text_column).alias("size"), hash_of(id_column).alias("hash")), "mix-sizes")
+def _thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """Of rows of source, size and hash: by source, its target, whole repeats, the hash at which the budget runs out, and the words left there."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = stored(targets(sizes, weights, most), "mix-targets")
     goal = F.floor("target").cast("long")
     repeats = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(goal / F.col("source_size"))).cast("long")
-    # integer division of long values below 2^53 is exact here
     state = plan.withColumn("repeats", repeats).withColumn("budget", goal - F.col("repeats") * F.col("source_size")).withColumn("prefix", F.lit(""))
     level = _small(state)
     for k in range(1, LEVELS + 1):
@@ -83,7 +81,40 @@ def mix(df: DataFrame, *, weights: tuple[float, ...], id_column: str = "doc_id",
         after = state.drop("prefix").alias("s").join(crossing.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
         state = stored(after.select("s.source", "source_size", "target", "repeats", (F.col("budget") - F.coalesce(F.col("c.b.upto") - F.col("c.b.words"), F.lit(0))).alias("budget"), F.coalesce("c.b.prefix", F.lit("g")).alias("prefix"), F.coalesce("c.b.words", F.lit(0)).alias("words")), "mix-level")
         level = _small(state)
-    met = rows.alias("r").join(level.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    share = F.when(F.col("words") == 0, F.lit(0)).otherwise(F.floor(F.col("size") * F.col("budget").cast("decimal(20,0)") / F.col("words"))).cast("long")
-    extra = F.when(F.col("hash") < F.col("prefix"), F.col("size")).when(F.col("hash") == F.col("prefix"), share).otherwise(F.lit(0))
-    return met.select(F.col("id").alias(id_column), "size", "source_size", "target", (F.col("size") * F.col("repeats") + extra).cast("long").alias("taken"))
+    return level
+
+
+def _taken(size: Column, digits: Column) -> Column:
+    """Words taken of a row that has met its source's thresholds."""
+    share = F.when(F.col("words") == 0, F.lit(0)).otherwise(F.floor(size * F.col("budget").cast("decimal(20,0)") / F.col("words"))).cast("long")
+    extra = F.when(digits < F.col("prefix"), size).when(digits == F.col("prefix"), share).otherwise(F.lit(0))
+    return (size * F.col("repeats") + extra).cast("long")
+
+
+def _measured(df: DataFrame, id_column: str, source_column: str, text_column: str) -> DataFrame:
+    return stored(df.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), size_of(text_column).alias("size"), hash_of(id_column).alias("hash")), "mix-sizes")
+
+
+def mix(df: DataFrame, *, weights: tuple[float, ...], id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", most: float = 3.0) -> DataFrame:
+    """Each row's id, size, source_size, target, taken (words, with repeats)."""
+    rows = _measured(df, id_column, source_column, text_column)
+    met = rows.alias("r").join(_thresholds(rows, weights, most).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    return met.select(F.col("id").alias(id_column), "size", "source_size", "target", _taken(F.col("size"), F.col("hash")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, *, weights: tuple[float, ...], id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", most: float = 3.0) -> DataFrame:
+    """The rows that the mix takes, with all their columns: one for each repeat; a document taken in part has its first words.
+
+    Texts aren't shuffled: each row meets its source's thresholds where it is.
+    """
+    level = _thresholds(_measured(df, id_column, source_column, text_column), weights, most)
+    level = level.select(F.col("source").alias("__mix_source"), *["repeats", "budget", "prefix", "words"])
+    inner = {c: f"__own_{k}" for k, c in enumerate(df.columns)}
+    rows = df.toDF(*inner.values())
+    text, source = inner[text_column], inner[source_column]
+    met = rows.join(level, rows[source].cast("string").eqNullSafe(level["__mix_source"]))
+    met = met.withColumn("__size", size_of(text)).withColumn("__taken", _taken(F.col("__size"), hash_of(inner[id_column]))).where("__taken > 0")
+    each = met.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
+    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__repeat") - 1) * F.col("__size"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), left.cast("int")), "")
+    return each.select(*[(F.when(left == F.col("__size"), F.col(text)).otherwise(part) if c == text_column else F.col(own)).alias(c) for c, own in inner.items()])
