@@ -19,9 +19,16 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from verdigrain.plans import retrieval_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
