@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from verdigrain.functions.arrays import let, prefix_sums
 
@@ -43,12 +44,15 @@ NOT_NAMES = "umur tanggal lahir tahun januari februari maret april mei juni juli
 NOT_PLACES = "atau jenis kebangsaan kelamin lahir tanggal tangal tempat tahun tgl tinggal umur".split()
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; Spark has no built-in for it."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition; Spark has no built-in for it."""
+    return F.pandas_udf(_composed, StringType())(text)
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
+from verdigrain.functions.arrays import let
 from verdigrain.operators.retrieval import dot, normalized
 from verdigrain.session import on_workers
 
@@ -32,9 +33,9 @@ def text_to_embed() -> Column:
 def hashed_vectors(df: DataFrame, text: Column, *, dimension: int = 256, out: str = "embedding") -> DataFrame:
     """Feature hashing in the JVM: each token adds plus or minus one to a place; null where a text has no token."""
     signed = F.transform(tx.tokens(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimension)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w")))
-    # ordered by place, equal places are sums of their signs
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(F.col("_signed"), lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["w"]))
-    return df.withColumn("_signed", signed).withColumn(out, normalized(vector)).drop("_signed")
+    place = lambda found, i: F.aggregate(F.filter(found, lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["w"])
+    vector = let(signed, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: place(found, i)))
+    return df.withColumn(out, let(vector, normalized))
 
 
 def embedded(df: DataFrame, load: Callable[[], Embedder], text: Column, *, queries: bool = False, prefix: str = "", out: str = "embedding") -> DataFrame:

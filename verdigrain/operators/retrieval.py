@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
+from verdigrain.functions.arrays import let
 
 #: Rows of a broadcast side, at most; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -22,9 +23,9 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def normalized(vector: Column) -> Column:
     """A vector of doubles with norm 1; null if it is zero or not finite."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((norm > 0) & (norm < F.lit(float("inf"))), F.transform(wide, lambda x: x / norm))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v: let(size(v), lambda n: F.when((n > 0) & (n < F.lit(float("inf"))), F.transform(v, lambda x: x / n)))
+    return let(F.transform(vector, lambda x: x.cast("double")), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -177,7 +178,12 @@ def ranking_violations(run: DataFrame) -> DataFrame:
     return by.select("query_id", F.explode(checks).alias("problem"))
 
 
-# The prompt that answers are asked for with.
+# The instruction and the prompt that answers are asked for with.
+INSTRUCTION = """Anda adalah sistem tanya jawab dokumen putusan pengadilan Indonesia.
+Jawab hanya berdasarkan konteks yang diberikan. Jangan gunakan pengetahuan di luar konteks,
+jangan menambah fakta, dan jangan memberikan nasihat hukum. Jika konteks tidak memuat jawaban,
+jawab persis: Informasi tidak ditemukan dalam konteks. Berikan jawaban langsung dan ringkas
+dalam bahasa Indonesia."""
 PROMPT = "Konteks:\n{context}\n\nPertanyaan:\n{question}\n\nJawaban:"
 
 
