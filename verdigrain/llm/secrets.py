@@ -4,8 +4,8 @@ Two first-order models of character classes, one of random strings and one of or
 are counted from labelled samples. A run of at least 20 key characters with letters and digits is a
 secret where the log-likelihood ratio of the models favours the random one by `least` nats for each
 character; runs that overlap a span of a fixed kind aren't told again. All steps are DataFrame
-functions: the ratios are one literal array, spans come from pieces of text up to each match, and
-prefix sums of their lengths go by blocks so that texts with many matches stay cheap.
+functions: the ratios are one literal array, and spans come from a fold over the pieces of a text, each
+of which ends with a match.
 
 Null texts count as empty and have no spans. Offsets are code points, ends exclusive. Repeated rows
 give equal results; extra columns are ignored.
@@ -25,11 +25,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN_CHARS, RUN_LEAST = "A-Za-z0-9+/_=-", 20
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _OTHERS = "+/_=-"
 CLASSES = 2 * 26 + 1 + len(_OTHERS)
-_BLOCK = 128
 
 # Words that ordinary identifiers are made of.
 _WORDS = """get set user name value index count list item data file path read write open close start stop begin end first last next
@@ -83,7 +82,8 @@ def train(samples: DataFrame, *, prior: float = 0.5) -> list[int]:
     clean = F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", "")
     pairs = samples.select("label", clean.alias("t")).where("length(t) > 1").select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("p"))
     code = class_of(F.substring("p", 1, 1)) * CLASSES + class_of(F.substring("p", 2, 1))
-    counts = {(r.label, r.code): r["n"] for r in pairs.groupBy("label", code.alias("code")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_pair = pairs.groupBy("label", "p").agg(F.count(F.lit(1)).alias("n")).select("label", code.alias("code"), "n")
+    counts = {(r.label, r.code): r["n"] for r in by_pair.groupBy("label", "code").agg(F.sum("n").alias("n")).collect()}
     out = []
     for a in range(CLASSES):
         sums = [sum(counts.get((label, a * CLASSES + b), 0) for b in range(CLASSES)) + prior * CLASSES for label in (0, 1)]
@@ -101,21 +101,33 @@ def ratio(run: Column, model: list[int]) -> Column:
     return total / (F.length(run) - 1) / 1000
 
 
+def _let(value: Column, body) -> Column:
+    """An expression over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(pieces: Column, pattern: str, least: int) -> Column:
+    """start, end and match of pieces of a text, each of which ends with a match; shorter matches are left out."""
+    kind = "array<struct<start:bigint,end:bigint,match:string>>"
+
+    def step(state: Column, piece: Column) -> Column:
+        end = state["end"] + F.length(piece)
+        told = lambda m: F.when(F.length(m) >= least, F.concat(state["found"], F.array(F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))))).otherwise(state["found"])
+        found = F.when(F.length(piece) < least, state["found"]).otherwise(F.coalesce(_let(F.regexp_substr(piece, F.lit(pattern)), lambda m: F.when(m.isNotNull(), told(m))), state["found"]))
+        return F.struct(end.alias("end"), found.alias("found"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(kind).alias("found")), step)["found"]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """start, end and match of all leftmost, non-overlapping matches of a pattern without looking around."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).*?(?:{pattern})"), F.lit(0))
-    found = F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), F.regexp_substr(p, F.lit(pattern)).alias("match")))
-    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
-    sums = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int"))
-    block = lambda b: F.slice(found, b * _BLOCK + 1, F.lit(_BLOCK))
-    per_block = F.transform(blocks, lambda b: total(block(b)))
+    # the end of the text is a piece too: else each of the last places would be tried in vain
+    return _placed(F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{pattern}|\z)"), F.lit(0)), pattern, 1)
 
-    def placed(b: Column) -> Column:
-        before = sums(F.slice(per_block, F.lit(1), b))
-        return F.transform(block(b), lambda x, i: F.struct((before + total(F.slice(block(b), F.lit(1), i + 1)) - F.length(x["match"])).alias("start"), (before + total(F.slice(block(b), F.lit(1), i + 1))).alias("end"), x["match"].alias("match")))
 
-    return F.when(F.size(pieces) > 0, F.flatten(F.transform(blocks, placed))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+def runs(text: Column, chars: str, least: int) -> Column:
+    """start, end and match of the maximal runs of some characters, of at least so many; one pass without backtracking."""
+    return _placed(F.regexp_extract_all(text, F.lit(rf"[^{chars}]*+(?:[{chars}]++|\z)"), F.lit(0)), rf"[{chars}]+\z", least)
 
 
 def scan(df: DataFrame, *, model: list[int] | None = None, id_column: str = "doc_id", text_column: str = "text", least: float = 0.6) -> DataFrame:
@@ -126,18 +138,18 @@ def scan(df: DataFrame, *, model: list[int] | None = None, id_column: str = "doc
     none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
     # cheap tests that any match must pass
     may_assign = F.greatest(*[low.contains(w) for w in ("passw", "secret", "token", "api")])
-    rows = df.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).select(
-        "id",
-        F.when(may_assign, F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)).otherwise(none).alias("assign"),
-        F.when(text.contains("AKIA"), matches(text, ACCESS)).otherwise(none).alias("access"),
-        F.when(text.rlike(HEX), matches(text, HEX)).otherwise(none).alias("hex"),
-        F.when(text.rlike("[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"), F.filter(matches(text, RUN), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))).otherwise(none).alias("runs"),
-    )
     told = lambda column, k: F.transform(column, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("rank"), m["end"].alias("end"), F.lit(KINDS[k]).alias("kind")))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[told(F.col(KINDS[k]), k) for k in range(3)])))
-    free = F.filter("runs", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = rows.withColumn("runs", F.when(F.size("runs") > 0, F.filter(free, lambda m: ratio(m["match"], model) >= least)).otherwise(none))
-    return rows.select(F.col("id").alias(id_column), F.array_sort(F.concat("base", told(F.col("runs"), 3))).alias("spans"))
+    assign = F.when(may_assign, F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)).otherwise(none)
+    access = F.when(text.contains("AKIA"), matches(text, ACCESS)).otherwise(none)
+    hexes = F.when(text.rlike(HEX), matches(text, HEX)).otherwise(none)
+    mixed = F.when(text.rlike("[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"), F.filter(runs(text, RUN_CHARS, RUN_LEAST), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))).otherwise(none)
+
+    def with_others(base: Column) -> Column:
+        free = F.filter(mixed, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        return F.array_sort(F.concat(base, told(F.filter(free, lambda m: ratio(m["match"], model) >= least), 3)))
+
+    rows = df.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
+    return rows.select(F.col("id").alias(id_column), _let(F.array_sort(F.concat(told(assign, 0), told(access, 1), told(hexes, 2))), with_others).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
