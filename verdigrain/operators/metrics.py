@@ -78,7 +78,7 @@ def gold_documents(questions: DataFrame) -> DataFrame:
     if kind is None:
         many = own
     else:
-        given = F.col("relevant_document_ids") if kind.startswith("array") else F.filter(F.transform(F.split("relevant_document_ids", "\\|"), F.trim), lambda x: x != "")
+        given = F.col("relevant_document_ids") if kind.startswith("array") else F.filter(F.transform(F.split("relevant_document_ids", "\\|"), lambda x: F.trim(x)), lambda x: x != "")
         many = F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(own)
     return questions.select("query_id", F.explode(F.array_distinct(many)).alias("document_id"))
 
