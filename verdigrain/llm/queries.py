@@ -75,5 +75,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM d GROUP BY 1),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weights, row_number() OVER (ORDER BY source_size / weight, source IS NULL, source) AS place
+  FROM s WINDOW b AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT place, rest, weights FROM o WHERE NOT CAST(rest AS DOUBLE) * weight / weights > 3 * source_size ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN total = 0 THEN 0.0::DOUBLE WHEN o.place < l.place THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(l.rest AS DOUBLE) * weight / l.weights END AS target FROM o CROSS JOIN l),
+g AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size END AS repeats, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) % source_size END AS budget FROM t),
+c AS (SELECT source, h, words, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM (SELECT source, h, sum(size) AS words FROM d GROUP BY 1, 2))
+SELECT doc_id, size, source_size, target, CAST(size * repeats + CASE WHEN upto <= budget THEN size WHEN upto - words <= budget AND words > 0 THEN size * (budget - (upto - words)) // words ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h"""
+
+_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY sha256(coalesce(text, '')), doc_id) AS r FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY h) AND r = 1 AS kept, h AS text_sha256 FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the two that SQL can express; the others rest on trained models, automata, tokenizers or file formats."""
+    return {"op5_source_mixing": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL}
