@@ -12,7 +12,7 @@ def brute(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
     hits = [(i, i + len(p) - 1, label) for p, label in PHRASES.items() for i in range(len(words)) if tuple(words[i : i + len(p)]) == p]
-    return len(words), len(hits), min((h[0] for h in hits), default=None), max((h[1] for h in hits), default=None), ",".join(sorted({h[2] for h in hits}))
+    return len(words), len(hits), min((h[0] for h in hits), default=None), max((h[0] for h in hits), default=None), ",".join(sorted({h[2] for h in hits}))
 
 
 @pytest.fixture
@@ -30,7 +30,7 @@ def check(spark, sf_dir):
         if r.doc_id is None:
             continue
         n_words, n_base, first, last, labels = brute(texts[r.doc_id][0])
-        assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (n_words, n_base, first, labels)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n_words, n_base, first, last, labels)
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
         assert list(filter(None, r.labels.split(","))) == sorted(set(filter(None, r.labels.split(","))))
 

@@ -17,7 +17,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     own, labels = F.col("base_spans"), lambda c: F.transform(c, lambda s: s["label"])
     first = F.transform(own, lambda s: s["first"])
-    last = F.transform(own, lambda s: s["end"] - 1)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.select(
         "doc_id", "n_words", F.size(own).cast("long").alias("n_base"),
