@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigrain.operators import chunking, groundtruth, retrieval
@@ -47,9 +47,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str, k: int = 10, **parameters) -> DataFrame:
     """A BM25 run with documents: query_id, chunk_id, rank, score, document_id."""
-    own = chunks(spark, sf_dir)
-    found = retrieval.bm25_topk(questions(spark, sf_dir), own, k, **parameters)
-    return found.join(own.select("chunk_id", "document_id"), "chunk_id")
+    scores = retrieval.bm25_scores(questions(spark, sf_dir), chunks(spark, sf_dir), **parameters)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
+    # the order column has the document in it: no second look at the chunks
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", F.floor(F.col("chunk_ord") / 100_000).cast("bigint").alias("document_id"))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
