@@ -81,18 +81,25 @@ class WordCachedTokenizer:
     def of(path: str) -> "WordCachedTokenizer":
         return WordCachedTokenizer(path)
 
-    def __init__(self, path: str, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         chars = _bytes_of_chars()
         added = {x["content"] for x in model.get("added_tokens", ())}
         ranks = {bytes(chars[c] for c in word): number for word, number in model["model"]["vocab"].items() if word not in added}
-        self.exact = Tokenizer.from_file(path)
+        self.path, self._exact = path, None
         self.added = sorted(x.encode() for x in added)
         self.words = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most = most
         self._clear()
 
+    @property
+    def exact(self) -> Tokenizer:
+        """Loaded only once a text holds an added token: it is large, and each worker has its own."""
+        if self._exact is None:
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
+
     def _clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int64)
