@@ -7,8 +7,7 @@ kernel, and a kernel ridge regression for each language against the rest is fitt
 linear in presence vectors, landmarks and regression fold into one matrix; texts are scored by
 products of batches of presence vectors with it.
 
-Fitting takes at most `per_language` labelled texts of each language, those with the smallest hash of
-their id, of at most `most_languages` languages; scoring takes every text whole. n-grams are hashed
+Fitting takes at most `per_language` labelled texts of each language, chosen by hashes of their ids, of at most `most_languages` languages; scoring takes every text whole. n-grams are hashed
 to 2^16 places. Letters are lower-cased and every run of other characters counts as one blank.
 
 A text that is null or has no letter gets `und` and score 0; so does everything if nothing is
@@ -115,8 +114,11 @@ def fit(df: DataFrame, *, where: Column | None = None, id_column: str = "doc_id"
     Only ids go through the choice; texts are read for the chosen ones.
     """
     rows = df.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & (~held_out(id_column) if where is None else where))
-    order = Window.partitionBy(label_column).orderBy(F.xxhash64(id_column), id_column)
-    chosen = rows.select(id_column, label_column).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
+    order = (F.xxhash64(id_column), F.col(id_column))
+    salt = F.pmod(F.xxhash64(id_column, F.lit(1)), F.lit(256))
+    # the first of each salt, then of those: no language's rows meet in one task
+    some = rows.select(id_column, label_column, salt.alias("_salt")).withColumn("_rank", F.row_number().over(Window.partitionBy(label_column, "_salt").orderBy(*order))).where(F.col("_rank") <= -(-per_language // 16))
+    chosen = some.withColumn("_rank", F.row_number().over(Window.partitionBy(label_column).orderBy(*order))).where(F.col("_rank") <= per_language)
     ids = chosen.select(id_column, label_column, "_rank").orderBy("_rank", label_column).limit(per_language * most_languages).collect()
     wanted = {(r[0], r[1]): r[2] for r in ids}
     if not wanted:
