@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigrain.llm.shared import shared_dir, text_or_empty
+from verdigrain.llm.shared import shared_dir, stored, text_or_empty
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -49,7 +49,8 @@ class DigestIndex:
 
     def add(self, batch: DataFrame, *, id_column: str = "doc_id") -> None:
         """Append the digests of (digest, id) rows that the index doesn't have."""
-        found = batch.groupBy("digest").agg(F.max(id_column).alias("keep_id"), F.sum("copies").alias("group_size"))
+        # stored: else the optimiser moves the anti-join below the aggregation, and all copies of a digest meet in one task
+        found = stored(batch.groupBy("digest").agg(F.max(id_column).alias("keep_id"), F.sum("copies").alias("group_size")), "dedup-new")
         self._append(found.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("keep_id").cast("long"), "group_size"))
 
     def _append(self, rows: DataFrame) -> None:
@@ -66,7 +67,8 @@ def counted(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
 def dedup(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row's id, keep_id, group_size, kept, text_sha256, after adding the rows to the index."""
     index = index or DigestIndex(df.sparkSession)
-    rows = counted(df, id_column=id_column, text_column=text_column)
+    # stored: the join below can split a hot digest only if no aggregate stands before it
+    rows = stored(counted(df, id_column=id_column, text_column=text_column), "dedup-rows")
     index.add(rows, id_column=id_column)
     joined = rows.join(index.rows().hint("merge"), "digest")
     return joined.select(id_column, "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), F.lower(F.hex("digest")).alias("text_sha256")).select(
@@ -77,7 +79,8 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "
 def kept_rows(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of a batch that stay, with all their columns."""
     index = index or DigestIndex(df.sparkSession)
-    index.add(counted(df, id_column=id_column, text_column=text_column), id_column=id_column)
+    # each task sends one row for each of its digests
+    index.add(df.select(digest(text_column).alias("digest"), id_column, F.lit(1).alias("copies")), id_column=id_column)
     keep = index.rows().select(F.col("digest").alias("__index_digest"), F.col("keep_id").alias("__index_keep_id"))
     rows = df.withColumn("__index_digest", digest(text_column))
     met = rows.join(keep.hint("merge"), (rows["__index_digest"] == keep["__index_digest"]) & rows[id_column].eqNullSafe(keep["__index_keep_id"]), "left_semi")
