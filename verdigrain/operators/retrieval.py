@@ -6,11 +6,15 @@ Terms are cut down to those that queries have before anything is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
 from verdigrain.functions.arrays import let
+from verdigrain.session import on_workers
 
 #: Rows of a broadcast side, at most; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -53,6 +57,68 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, on: str | None =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
 
 
+def _vectors_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values, and the start and size of each row's vector; null has size -1."""
+    column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values, np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0), sizes
+
+
+def _block_scores(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    """Dot products summed in the order of dimensions, as dot() does; NaN where a vector is null or sizes differ."""
+    (a, a_at, a_size), (b, b_at, b_size) = _vectors_of(left), _vectors_of(right)
+    out = np.full((len(a_size), len(b_size)), np.nan)
+    for size in np.intersect1d(a_size[a_size >= 0], b_size[b_size >= 0]).tolist():
+        i, j = np.flatnonzero(a_size == size), np.flatnonzero(b_size == size)
+        x, y = a[a_at[i][:, None] + np.arange(size)], np.ascontiguousarray(b[b_at[j][:, None] + np.arange(size)].T)
+        for k in range(0, len(i), 64):
+            part = np.zeros((len(i[k : k + 64]), len(j)))
+            for n in range(size):
+                part += x[k : k + 64, n, None] * y[n]
+            out[np.ix_(i[k : k + 64], j)] = part
+    return out
+
+
+def dense_topk_blocks(queries: DataFrame, index: DataFrame, k: int, *, on: str | None = None, digits: int = 9, block: int = 2048) -> DataFrame:
+    """dense_topk for queries without a bound on their rows: blocks of about `block` queries meet blocks of the index.
+
+    Each pair of blocks is scored in one Arrow function, which keeps k rows for each query. With `on`,
+    both sides are cut into blocks within its values, so a frequent value is many pairs.
+    """
+    on_workers(index.sparkSession)
+    same = F.col(on) if on else F.lit(0)
+    q = queries.select("query_id", same.alias("_on"), normalized(F.col("vector")).alias("_q"))
+    d = index.select("chunk_id", "chunk_ord", same.alias("_on"), normalized(F.col("vector")).alias("_d"))
+    blocks = lambda df, name: df.groupBy("_on").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    sizes = small(blocks(q, "_nq").join(blocks(d, "_nd"), "_on"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = q.join(sizes, "_on").select("_on", F.pmod(F.xxhash64("query_id"), F.col("_nq")).alias("_i"), every("_nd").alias("_j"), "query_id", "_q")
+    right = d.join(sizes, "_on").select("_on", every("_nq").alias("_i"), F.pmod(F.xxhash64("chunk_id"), F.col("_nd")).alias("_j"), "chunk_id", "chunk_ord", "_d")
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk_ord")
+        score = np.round(_block_scores(asked["_q"], rows["_d"]), digits)
+        key = np.where(np.isnan(score), -np.inf, score)
+        which, place = [], []
+        for row in range(len(key)):
+            near = np.arange(key.shape[1])
+            if len(near) > k:
+                near = np.flatnonzero(key[row] >= np.partition(key[row], len(near) - k)[len(near) - k])
+            near = near[np.argsort(-key[row, near], kind="stable")][:k]
+            which.append(np.full(len(near), row))
+            place.append(near)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, place))
+        found = score[i, j]
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "chunk_id": rows["chunk_id"].take(pa.array(j)), "chunk_ord": rows["chunk_ord"].take(pa.array(j)), "score": pa.array(found, mask=np.isnan(found))})
+
+    types = dict(queries.dtypes) | dict(index.dtypes)
+    keys = ["_on", "_i", "_j"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, chunk_ord {types['chunk_ord']}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+
+
 def bm25_statistics(chunks: DataFrame) -> DataFrame:
     """One row: chunks and average tokens, over all chunks."""
     return chunks.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.tokens(F.col("text")))).alias("average"))

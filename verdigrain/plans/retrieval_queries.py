@@ -68,13 +68,14 @@ register("bm25_topk", bm25_topk, f"WITH {d.SQL_BM25}{d.sql_run('r')} SELECT quer
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every embedding as a query, and as a row of the index."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"), "label")
-    return rows.where("chunk_id < 50").select(F.col("chunk_id").alias("query_id"), "vector", "label"), rows
+    return rows.select(F.col("chunk_id").alias("query_id"), "vector", "label"), rows
 
 
 def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _vectors(spark, sf_dir)
-    return _rounded(retrieval.dense_topk(queries, index, 10).withColumn("rank", F.col("rank").cast("bigint")), "score")
+    return _rounded(retrieval.dense_topk_blocks(queries, index, 10).withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
 _SQL_DENSE = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v), 9) AS score FROM n q JOIN n c ON {0} WHERE q.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"
@@ -83,7 +84,7 @@ register("dense_topk_cosine", dense_topk_cosine, _SQL_DENSE.format("true"))
 
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _vectors(spark, sf_dir)
-    return _rounded(retrieval.dense_topk(queries, index, 10, on="label").withColumn("rank", F.col("rank").cast("bigint")), "score")
+    return _rounded(retrieval.dense_topk_blocks(queries, index, 10, on="label").withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
 register("dense_topk_filtered", dense_topk_filtered, _SQL_DENSE.format("q.label = c.label"))
