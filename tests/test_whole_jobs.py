@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from verdigrain.operators import retrieval
-from verdigrain.plans import retrieval_queries
+from verdigrain.plans import catalogue, retrieval_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +36,18 @@ def test_blocks_as_rows(spark):
     for on in (None, "label"):
         told = [sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in f(asked, index, 5, on=on, **more).collect() if r.score is not None) for f, more in ((retrieval.dense_topk, {}), (retrieval.dense_topk_blocks, {"block": 7}))]
         assert told[0] == told[1] and told[0]
+
+
+def test_questions_and_fingerprints_read_documents(spark, tmp_path):
+    plain = "PUTUSAN\nNomor 1\nIDENTITAS TERDAKWA\nNama lengkap Budi Santoso Tempat lahir Jakarta Umur 30 tahun\nMENGADILI\nmenjatuhkan pidana penjara selama lima tahun"
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, plain), (2, "no decision at all"), (3, ""), (4, None)], "doc_id bigint, text string").write.parquet(path)
+    slots = catalogue.queries()["question_slots"](spark, str(tmp_path)).collect()
+    assert {r.document_id for r in slots} == {1, 2, 3, 4} and len(slots) == 16
+    assert {r.document_id for r in catalogue.queries()["fingerprints"](spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
+    failed = {r.document_id for r in text_queries.question_failures(spark, str(tmp_path)).where("question_type = 'all'").collect()}
+    assert {2, 3, 4} <= failed
+    assert 1 not in failed
+    asked = {r.query_id: r for r in text_queries.question_drafts(spark, str(tmp_path)).collect()}
+    assert set(asked) == {"dev-001-birthplace", "dev-001-disposition"} and asked["dev-001-birthplace"].reference_answer == "Jakarta"
+    assert plain[asked["dev-001-birthplace"].evidence_start : asked["dev-001-birthplace"].evidence_end] == "Jakarta"

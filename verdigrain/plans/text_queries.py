@@ -203,7 +203,7 @@ def paged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("page_spans", paged_conversations, "SELECT conv_id AS document_id, turn AS page_number, CAST(coalesce(sum(length(coalesce(text, '')) + 2) OVER w, 0) AS BIGINT) AS start_position, CAST(coalesce(sum(length(coalesce(text, '')) + 2) OVER w, 0) + length(coalesce(text, '')) AS BIGINT) AS end_position FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 
-#: A decision in the layout of the corpus, for queries whose rules no table has text for.
+#: A decision in the layout of the corpus, for tests of rules that no table has text for.
 DECISION = (
     ("kepala_putusan", "Putusan Nomor 12 Pid Sus 2018 PN Cth demi keadilan berdasarkan ketuhanan"), ("identitas_terdakwa", "1 nama lengkap Budi Santoso 2 tempat lahir Jakarta 3 umur atau tanggal lahir 30 tahun"),
     ("riwayat_penahanan", "Penyidik sejak tanggal 1 Mei 2018 sampai dengan tanggal 20 Mei 2018 2 Penuntut"), ("riwayat_dakwaan", "bahwa ia terdakwa Budi Santoso pada hari itu tanpa hak atau melawan hukum menjual narkotika golongan satu bukan tanaman sebagaimana diatur"),
@@ -219,6 +219,23 @@ def decision_sections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "document_id string, section_label string, section_heading string, start_position bigint, end_position bigint, section_text string")
 
 
-register("question_drafts", lambda spark, sf_dir: questions.questions_v2(decision_sections(spark), "dev")[0].select("query_id", "question", "reference_answer", "evidence_start", "evidence_end", "extraction_method", "quality_flags"))
-register("fingerprints", lambda spark, sf_dir: extract.fingerprints(decision_sections(spark)))
-register("question_slots", lambda spark, sf_dir: questions.question_slots(decision_sections(spark)))
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all documents; an empty or null text is one empty section, so that no document is lost."""
+    docs = d.documents(spark, sf_dir)
+    empty = _whole(spark, sf_dir, "unknown").where("coalesce(length(section_text), 0) = 0").withColumn("end_position", F.lit(0).cast("bigint")).withColumn("section_text", F.lit(""))
+    return sections.detect(docs).unionByName(empty)
+
+
+def question_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.questions_v2(_detected(spark, sf_dir), "dev")[0].select("query_id", "question", "reference_answer", "evidence_start", "evidence_end", "extraction_method", "quality_flags")
+
+
+def question_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the questions that nothing was found for."""
+    return questions.questions_v2(_detected(spark, sf_dir), "dev")[1]
+
+
+register("question_drafts", question_drafts)
+register("question_failures", question_failures)
+register("fingerprints", lambda spark, sf_dir: extract.fingerprints(_detected(spark, sf_dir)))
+register("question_slots", lambda spark, sf_dir: questions.question_slots(_detected(spark, sf_dir)))
