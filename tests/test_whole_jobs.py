@@ -51,3 +51,10 @@ def test_questions_and_fingerprints_read_documents(spark, tmp_path):
     asked = {r.query_id: r for r in text_queries.question_drafts(spark, str(tmp_path)).collect()}
     assert set(asked) == {"dev-001-birthplace", "dev-001-disposition"} and asked["dev-001-birthplace"].reference_answer == "Jakarta"
     assert plain[asked["dev-001-birthplace"].evidence_start : asked["dev-001-birthplace"].evidence_end] == "Jakarta"
+
+
+def test_summaries_are_checked_against_whole_texts(spark, tmp_path):
+    text = "kata " * 24 + "nomor 77 narkotika " + "lagi " * 40
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = text_queries.summary_diagnostics(spark, str(tmp_path)).first()
+    assert row.unsupported == "" and row.lexical_support_ratio == 1.0 and row.automated_quality_status == "pass"

@@ -117,7 +117,7 @@ register("sentence_counts", sentence_counts, r"SELECT doc_id AS document_id, len
 
 
 def summary_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.documents(spark, sf_dir).select("document_id", tx.head_at_word(F.col("text"), 150).alias("summary"), F.substring("text", 1, 100).alias("source"))
+    rows = d.documents(spark, sf_dir).select("document_id", tx.head_at_word(F.col("text"), 150).alias("summary"), F.col("text").alias("source"))
     out = augment.diagnostics(rows)
     return out.select("document_id", F.array_join("unsupported_number_tokens", "|").alias("unsupported"), F.round("lexical_support_ratio", 6).alias("lexical_support_ratio"), "unexpected_language", F.array_join("quality_flags", "|").alias("flags"), "automated_quality_status")
 
