@@ -58,3 +58,22 @@ def test_summaries_are_checked_against_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = text_queries.summary_diagnostics(spark, str(tmp_path)).first()
     assert row.unsupported == "" and row.lexical_support_ratio == 1.0 and row.automated_quality_status == "pass"
+
+
+def test_icc_of_every_order(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity").collect()
+    orders, sets = {}, {}
+    for r in rows:
+        orders.setdefault(r.l_orderkey, []).append(float(r.l_quantity))
+    for own in orders.values():
+        sets.setdefault(len(own), []).append(own)
+    found = {r.n: r for r in retrieval_queries.icc(spark, SF).collect()}
+    assert set(found) == set(sets) and sum(n * r.clusters for n, r in found.items()) == len(rows)
+    for n, own in sets.items():
+        assert found[n].clusters == len(own)
+        if n == 1 or len(own) == 1:
+            assert found[n].icc is None
+            continue
+        x = np.array(own)
+        b, w = n * x.mean(1).var(ddof=1), ((x - x.mean(1, keepdims=True)) ** 2).sum() / (len(x) * (n - 1))
+        assert found[n].icc == pytest.approx(min(1, max(0, (b - w) / (b + (n - 1) * w))), abs=1e-6)

@@ -116,6 +116,19 @@ def intraclass_correlation(values: DataFrame, cluster: str, value: str) -> DataF
     return all_.select(F.when((F.col("k") >= 2) & (F.col("n") == F.col("n2")) & (F.col("n") >= 2), icc).alias("icc"))
 
 
+def intraclass_correlations(values: DataFrame, cluster: str, value: str) -> DataFrame:
+    """n, clusters, icc: intraclass_correlation of the clusters of each size; null where there aren't two clusters of two.
+
+    All values count: a cluster belongs to the set of its own size.
+    """
+    by = values.groupBy(cluster).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    sets = by.groupBy("n").agg(F.count(F.lit(1)).alias("clusters"), F.var_samp("m").alias("between"), F.sum("v").alias("v"))
+    between, within = F.col("n") * F.col("between"), F.try_divide(F.col("n") * F.col("v"), F.col("clusters") * (F.col("n") - 1))
+    bottom = between + (F.col("n") - 1) * within
+    icc = F.when(bottom == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(between - within, bottom))))
+    return sets.select("n", "clusters", F.when((F.col("clusters") >= 2) & (F.col("n") >= 2), icc).alias("icc"))
+
+
 def paired_sample_size(effect: float, deviation: float, *, alpha: float = 0.05, power: float = 0.8) -> int:
     """Pairs for a two-sided test of a mean difference, by the normal approximation."""
     effect = abs(effect)

@@ -357,10 +357,9 @@ register("factorial_contrasts", factorial_contrasts)
 
 
 def icc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of line items in groups of two by order, the correlation of quantities."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", F.col("l_quantity").cast("double").alias("q"))
-    pairs = items.join(items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n = 2"), "l_orderkey")
-    return _rounded(inference.intraclass_correlation(pairs, "l_orderkey", "q"), "icc")
+    """Of all line items, the correlation of quantities within orders, for each size of order."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("q"))
+    return _rounded(inference.intraclass_correlations(items, "l_orderkey", "q"), "icc")
 
 
 register("icc", icc, "WITH x AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT l_orderkey, avg(q) AS m, sum(q * q) - count(*) * avg(q) * avg(q) AS v FROM x WHERE n = 2 GROUP BY 1), t AS (SELECT 2 * var_samp(m) AS b, sum(v) / count(*) AS w FROM g) SELECT round(CASE WHEN b + w = 0 THEN 0 ELSE least(1, greatest(0, (b - w) / (b + w))) END, 6) AS icc FROM t")
