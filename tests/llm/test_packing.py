@@ -86,5 +86,58 @@ def test_limits(sizes, segments):
         assert at == size
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.booleans(), min_size=1, max_size=70), max_size=60), st.integers(1, 6), st.integers(1, 20), st.booleans())
+def test_masks_and_any_loss_limit(masks, segments, loss, whole):
+    bins = packing.VectorBins((16, segments, loss), 8)
+    for k, mask in enumerate(masks):
+        bins.add(k, len(mask), None if whole else np.array(mask))
+    bins.finish()
+    used, by_key = {}, {}
+    for key, start, length, number, offset in bins.pieces():
+        used.setdefault(number, []).append((length, length if whole else sum(masks[key][start : start + length])))
+        by_key.setdefault(key, []).append((start, length))
+    for spans in used.values():
+        assert len(spans) <= segments and sum(n for n, _ in spans) <= 16 and sum(n for _, n in spans) <= loss
+    for k, mask in enumerate(masks):
+        at = 0
+        for start, length in sorted(by_key[k]):
+            assert start == at and length >= 1
+            at += length
+        assert at == len(mask)
+    assert not bins.before
+
+
+def test_each_limit_binds():
+    def sums(limits, items, pool=512):
+        bins, out = packing.VectorBins(limits, pool), {}
+        for k, (size, loss) in enumerate(items):
+            bins.add(k, size, np.arange(size) < loss)
+        bins.finish()
+        for key, start, length, number, _ in bins.pieces():
+            own = out.setdefault(number, [0, 0, 0])
+            for n, more in enumerate((length, 1, max(0, min(start + length, items[key][1]) - start))):
+                own[n] += more
+        return np.array(list(out.values())).max(0).tolist()
+
+    assert sums((2048, 256, 2048), [(100, 10)] * 600)[0] == 2048
+    assert sums((2048, 256, 2048), [(1, 0)] * 600)[1] == 256
+    most = sums((2048, 256, 300), [(100, 50)] * 600)
+    assert most[2] == 300 and most[1] < 256
+
+
+def test_mask_column(spark):
+    rows = [(k, "one two three four five " * 8, [k % 2 == 0] * 10 if k % 3 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, bears array<boolean>").coalesce(1)
+    out = packing.pack(df, tokenizer_file=PATH, max_tokens=64, max_loss_tokens=20, loss_column="bears").collect()
+    used, total = {}, {}
+    for r in out:
+        mask = rows[r.doc_id][2]
+        flags = [True] * r.doc_tokens if mask is None else mask + [True] * (r.doc_tokens - 10)
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + sum(flags[r.start : r.start + r.length])
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert max(used.values()) == 20 and all(total[r.doc_id] == r.doc_tokens for r in out) and len(total) == 40
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark).where("false"), tokenizer_file=PATH).count() == 0

@@ -1,8 +1,8 @@
 """Packing by a dot-product heuristic for vector bins.
 
 Every document becomes its token ids and an end id, cut where a sequence is full. A bin has three
-limits at once: tokens, segments (pieces) and loss-bearing tokens (all of a piece but its first,
-which nothing predicts). Among waiting items, the one is placed whose demand has the largest dot
+limits at once: tokens, segments (pieces) and loss-bearing tokens (those that a document's mask names;
+all of them where it has none). Among waiting items, the one is placed whose demand has the largest dot
 product with what the bin has left, each dimension weighted by its mean demand; an item that doesn't
 fit whole may be cut to fill the bin. What remains at the end of a partition is dealt to bins whose
 sizes are powers of two, so that it needs no padding.
@@ -38,30 +38,49 @@ class VectorBins:
     """
 
     def __init__(self, limits: tuple[int, int, int], pool: int) -> None:
-        if min(limits) < 1 or limits[2] < limits[0] - 1:
-            raise ValueError("limits must be positive, and a bin of one piece must fit the loss-bearing limit")
+        if min(limits) < 1:
+            raise ValueError("limits must be positive")
         self.limits, self.pool = np.array(limits, np.float64), pool
         self.keys = np.zeros(pool, np.int64)
         self.starts = np.zeros(pool, np.int64)
         self.sizes = np.zeros(pool, np.int64)
+        self.losses = np.zeros(pool, np.int64)
+        self.before: dict[int, np.ndarray] = {}
         self.n = 0
         self.bins = 0
         self.out: list[tuple[int, int, int, int, int]] = []
 
-    def add(self, key: int, size: int) -> None:
-        """Full bins of a long item are cut off at once; the rest waits."""
-        most, start = int(self.limits[0]), 0
-        while size - start >= most:
-            self.out.append((key, start, most, self.bins, 0))
+    def add(self, key: int, size: int, mask: np.ndarray | None = None) -> None:
+        """What no bin holds whole is cut off at once in bins of its own; the rest waits. mask: which tokens bear loss (all, if None)."""
+        most, most_loss, start = int(self.limits[0]), int(self.limits[2]), 0
+        if mask is not None:
+            self.before[key] = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        while size - start >= most or self._loss(key, start, size - start) > most_loss:
+            length = self._length(key, start, min(size - start, most), most_loss)
+            self.out.append((key, start, length, self.bins, 0))
             self.bins += 1
-            start += most
+            start += length
         if start < size:
-            self.keys[self.n], self.starts[self.n], self.sizes[self.n] = key, start, size - start
+            self.keys[self.n], self.starts[self.n], self.sizes[self.n], self.losses[self.n] = key, start, size - start, self._loss(key, start, size - start)
             self.n += 1
+        else:
+            self.before.pop(key, None)
         if self.n == self.pool:
             while self.n > self.pool // 2:
                 self._fill(most)
 
+    def _loss(self, key: int, start: int, length: int) -> int:
+        """Loss-bearing tokens of a piece."""
+        before = self.before.get(key)
+        return length if before is None else int(before[start + length] - before[start])
+
+    def _length(self, key: int, start: int, most: int, loss: int) -> int:
+        """Tokens from `start`, at most `most`, with at most `loss` loss-bearing ones."""
+        before = self.before.get(key)
+        if before is None:
+            return min(most, loss)
+        return min(most, int(np.searchsorted(before, before[start] + loss, side="right")) - 1 - start)
+
     def finish(self) -> None:
         """Deal out what waits: whole bins first, then one bin for each power of two in the rest."""
         most = int(self.limits[0])
@@ -79,45 +98,60 @@ class VectorBins:
         left = self.limits.copy()
         left[0], at = size, 0
         while self.n and left[0] >= 1 and left[1] >= 1:
-            sizes = self.sizes[: self.n]
-            mean = float(sizes.mean())
-            weights = np.array([mean, 1.0, max(mean - 1, 0.0)]) / self.limits
+            sizes, losses = self.sizes[: self.n], self.losses[: self.n]
+            weights = np.array([float(sizes.mean()), 1.0, float(losses.mean())]) / self.limits
             left_share = left / self.limits
-            score = weights[0] * left_share[0] * sizes / self.limits[0] + weights[1] * left_share[1] / self.limits[1] + weights[2] * left_share[2] * (sizes - 1) / self.limits[2]
-            fits = (sizes <= left[0]) & (sizes - 1 <= left[2])
+            score = weights[0] * left_share[0] * sizes / self.limits[0] + weights[1] * left_share[1] / self.limits[1] + weights[2] * left_share[2] * losses / self.limits[2]
+            fits = (sizes <= left[0]) & (losses <= left[2])
             if fits.any():
                 k = int(np.argmax(np.where(fits, score, -1.0)))
                 length = int(sizes[k])
             else:
-                k = int(np.argmin(sizes))
-                length = int(min(left[0], left[2] + 1))
-                if length < 1:
+                # the smallest item that has something for this bin
+                for k in np.argsort(sizes, kind="stable").tolist():
+                    length = self._length(int(self.keys[k]), int(self.starts[k]), int(min(sizes[k], left[0])), int(left[2]))
+                    if length >= 1:
+                        break
+                else:
                     break
-            self.out.append((int(self.keys[k]), int(self.starts[k]), length, self.bins, at))
+            key, start = int(self.keys[k]), int(self.starts[k])
+            loss = self._loss(key, start, length)
+            self.out.append((key, start, length, self.bins, at))
             at += length
-            left -= (length, 1, length - 1)
+            left -= (length, 1, loss)
             if length == sizes[k]:
                 self.n -= 1
-                for x in (self.keys, self.starts, self.sizes):
+                self.before.pop(key, None)
+                for x in (self.keys, self.starts, self.sizes, self.losses):
                     x[k] = x[self.n]
             else:
                 self.starts[k] += length
                 self.sizes[k] -= length
+                self.losses[k] -= loss
         self.bins += 1
 
 
 def pack(
-    df: DataFrame, *, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", max_tokens: int = 2048, max_segments: int = 512, max_loss_tokens: int | None = None, end_id: int = END_ID, pool: int = 512, with_ids: bool = False,
+    df: DataFrame, *, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int | None = None, loss_column: str | None = None, end_id: int = END_ID, pool: int = 512, with_ids: bool = False,
 ) -> DataFrame:
     """Packed pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     The waiting items keep their ids in memory: at most `pool` times `max_tokens` of them.
+    loss_column: array<boolean>, whether each token of the text bears loss; where it is null, and for
+    tokens after its end (such as the end id), all do. max_loss_tokens: as many as tokens, if None.
     """
     on_workers(df.sparkSession)
-    limits = (max_tokens, max_segments, max_tokens - 1 if max_loss_tokens is None else max_loss_tokens)
+    limits = (max_tokens, max_segments, max_tokens if max_loss_tokens is None else max_loss_tokens)
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     id_type = dict(df.dtypes)[id_column]
 
+    def masked(flags: list[bool] | None, size: int) -> np.ndarray | None:
+        if flags is None:
+            return None
+        if len(flags) > size:
+            raise ValueError("a loss mask is longer than its text's tokens")
+        return np.concatenate([np.array(flags, bool), np.ones(size - len(flags), bool)])
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordCachedTokenizer.of(tokenizer_file)
         bins, held, key = VectorBins(limits, pool), {}, 0
@@ -142,7 +176,7 @@ def pack(
             for row, ids in enumerate(tokenizer.encoded(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 held[key] = [batch.column(0)[row].as_py(), ids, len(ids)]
-                bins.add(key, len(ids))
+                bins.add(key, len(ids), masked(batch.column(2)[row].as_py(), len(ids)) if loss_column else None)
                 key += 1
                 if len(bins.out) >= 4096:
                     yield told(kind)
@@ -151,4 +185,4 @@ def pack(
             yield told(kind)
 
     more = ", ids array<bigint>" if with_ids else ""
-    return df.select(id_column, text_column).mapInArrow(packed, f"`{id_column}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{more}")
+    return df.select(id_column, text_column, *[loss_column] * (loss_column is not None)).mapInArrow(packed, f"`{id_column}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{more}")
