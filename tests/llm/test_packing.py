@@ -141,3 +141,12 @@ def test_mask_column(spark):
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark).where("false"), tokenizer_file=PATH).count() == 0
+
+
+def test_more_words_than_the_cache_holds():
+    import pyarrow as pa
+
+    exact = Tokenizer.from_file(PATH)
+    texts = [" ".join(f"w{k} {k * 7919}" for k in range(400)), "", "again w1 w2", None, " ".join("ab" * (k % 13) for k in range(300))]
+    found = [x.tolist() for x in WordCachedTokenizer(PATH, most=7).encoded(pa.array(texts, pa.string()))]
+    assert found == [exact.encode(t or "", add_special_tokens=False).ids for t in texts]

@@ -123,6 +123,26 @@ class WordCachedTokenizer:
         self.starts = np.insert(self.starts, order, starts)
         self.lengths = np.insert(self.lengths, order, lengths)
 
+    def _words(self, whole: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has; more distinct words than the cache holds go in runs of words."""
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(distinct) > self.most:
+            runs = [self._words(whole, starts[k : k + self.most], ends[k : k + self.most], hashes[k : k + self.most]) for k in range(0, len(starts), self.most)]
+            return np.concatenate([ids for ids, _ in runs]), np.concatenate([size for _, size in runs])
+        found = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inner = found < len(self.hashes)
+        known[inner] = self.hashes[found[inner]] == distinct[inner]
+        if not known.all():
+            if len(self.hashes) + int((~known).sum()) > self.most:
+                self._clear()
+                known[:] = False
+            self._learn(distinct[~known], [whole[a:b] for a, b in zip(starts[one[~known]].tolist(), ends[one[~known]].tolist(), strict=True)])
+            found = np.searchsorted(self.hashes, distinct)
+        begin, size = self.starts[found][which], self.lengths[found][which]
+        stop = np.cumsum(size)
+        return self.pool[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))], size
+
     def encoded(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty."""
         data, offsets = buffers(column)
@@ -145,22 +165,8 @@ class WordCachedTokenizer:
         starts = word_starts(points, np.unique(at[:-1][at[:-1] < at[1:]]))
         ends = np.append(starts[1:], len(points))
         hashes = textvec.span_hashes(points, starts, ends)
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(distinct) > self.most:
-            raise ValueError("the cache of words is smaller than one slice's words")
-        found = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inner = found < len(self.hashes)
-        known[inner] = self.hashes[found[inner]] == distinct[inner]
-        if not known.all():
-            if len(self.hashes) + int((~known).sum()) > self.most:
-                self._clear()
-                known[:] = False
-            self._learn(distinct[~known], [whole[a:b] for a, b in zip(starts[one[~known]].tolist(), ends[one[~known]].tolist(), strict=True)])
-            found = np.searchsorted(self.hashes, distinct)
-        begin, size = self.starts[found][which], self.lengths[found][which]
+        ids, size = self._words(whole, starts, ends, hashes)
         stop = np.cumsum(size)
-        ids = self.pool[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))]
         edge = np.concatenate([[0], stop])[np.searchsorted(starts, at)]
         for k in range(rows):
             if k in special:
