@@ -150,3 +150,112 @@ def test_more_words_than_the_cache_holds():
     texts = [" ".join(f"w{k} {k * 7919}" for k in range(400)), "", "again w1 w2", None, " ".join("ab" * (k % 13) for k in range(300))]
     found = [x.tolist() for x in WordCachedTokenizer(PATH, most=7).encoded(pa.array(texts, pa.string()))]
     assert found == [exact.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def thue_morse(n, odd):
+    return "".join("ab"[(bin(k).count("1") + odd) % 2] for k in range(n))
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    import pyarrow as pa
+
+    from verdigrain.llm import textvec, tokens
+
+    exact = Tokenizer.from_file(PATH)
+    texts = [thue_morse(2048, k) + " x" for k in (0, 1, 0)] + [thue_morse(1024, k) for k in (1, 0)]
+    found = [x.tolist() for x in WordCachedTokenizer(PATH).encoded(pa.array(texts))]
+    assert found == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    # any two words of a length share a hash
+    monkeypatch.setattr(tokens.textvec, "span_hashes", lambda units, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two six ten eleven", "ten six two one", "seven's a 12 of 34", "one two"]
+    found = [x.tolist() for x in WordCachedTokenizer(PATH).encoded(pa.array(texts))]
+    assert found == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert textvec is tokens.textvec
+
+
+def test_more_than_a_million_words():
+    import pyarrow as pa
+
+    text = " ".join(map(str, range(1_100_000)))
+    (found,) = WordCachedTokenizer(PATH).encoded(pa.array([text]))
+    assert found.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_prompts_bear_no_loss(spark):
+    texts = ["a prompt\nan answer that is longer " * 3, "no prompt at all", "\nonly an answer", "é👍 prompt\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    exact = Tokenizer.from_file(PATH)
+    out = packing.pack(df, tokenizer_file=PATH, max_tokens=16, max_loss_tokens=5, prompt_end="\n").collect()
+    used = {}
+    for r in out:
+        text = texts[r.doc_id] or ""
+        whole = exact.encode(text, add_special_tokens=False)
+        end = text.find("\n") + 1
+        bears = [a >= end for a, _ in whole.offsets] + [True] if end else [True] * (len(whole.ids) + 1)
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + sum(bears[r.start : r.start + r.length])
+        assert r.doc_tokens == len(bears)
+    assert max(used.values()) == 5
+
+
+def placed(items, limits, pool):
+    """The heuristic, item by item: (key, start, length, bin) in the order of placement."""
+    waiting, out, bins = [], [], 0
+
+    def cut(item, most, loss):
+        n = 0
+        while n < min(most, len(item[2])) and sum(item[2][: n + 1]) <= loss:
+            n += 1
+        return n
+
+    def fill(size):
+        nonlocal bins
+        left = [size, *limits[1:]]
+        while waiting and left[0] and left[1]:
+            means = [sum(len(i[2]) for i in waiting) / len(waiting), 1, sum(sum(i[2]) for i in waiting) / len(waiting)]
+            need = [(len(i[2]), 1, sum(i[2])) for i in waiting]
+            score = [sum(m / c * (room / c) * (n / c) for m, c, room, n in zip(means, limits, left, x, strict=True)) for x in need]
+            fits = [k for k, x in enumerate(need) if x[0] <= left[0] and x[2] <= left[2]]
+            if fits:
+                k = max(fits, key=lambda k: (round(score[k], 12), -k))
+                n = len(waiting[k][2])
+            else:
+                order = sorted(range(len(waiting)), key=lambda k: len(waiting[k][2]))
+                k = next((k for k in order if cut(waiting[k], left[0], left[2])), None)
+                if k is None:
+                    break
+                n = cut(waiting[k], left[0], left[2])
+            key, start, mask = waiting[k]
+            out.append((key, start, n, bins))
+            left = [left[0] - n, left[1] - 1, left[2] - sum(mask[:n])]
+            if n == len(mask):
+                waiting[k] = waiting[-1]
+                waiting.pop()
+            else:
+                waiting[k] = (key, start + n, mask[n:])
+        bins += 1
+
+    for key, mask in enumerate(items):
+        start = 0
+        while len(mask) - start >= limits[0] or sum(mask[start:]) > limits[2]:
+            n = cut((key, 0, mask[start:]), limits[0], limits[2])
+            out.append((key, start, n, bins))
+            bins, start = bins + 1, start + n
+        if start < len(mask):
+            waiting.append((key, start, mask[start:]))
+        if len(waiting) == pool:
+            while len(waiting) > pool // 2:
+                fill(limits[0])
+    while waiting:
+        rest = sum(len(i[2]) for i in waiting)
+        fill(limits[0] if rest >= limits[0] else 1 << (rest.bit_length() - 1))
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.booleans(), min_size=1, max_size=40), max_size=30), st.integers(2, 6), st.integers(3, 16))
+def test_placement_against_plain_version(masks, segments, loss):
+    bins = packing.VectorBins((16, segments, loss), 8)
+    for k, mask in enumerate(masks):
+        bins.add(k, len(mask), np.array(mask))
+    bins.finish()
+    assert [x[:4] for x in bins.pieces()] == placed(masks, (16, segments, loss), 8)

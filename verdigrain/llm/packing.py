@@ -11,7 +11,12 @@ A task packs the rows of its own input split, in order, with a bounded pool of w
 is no shuffle, and a lost task is packed anew in the same way. Sequence numbers hold the partition's
 number in their upper bits.
 
-Null and empty texts have only the end id. Repeated rows are packed each. Extra columns are ignored.
+What bears loss is told by a column of masks, or by a marker: with ``prompt_end``, all up to and with
+the first such string is a prompt, whose tokens bear none.
+
+Null and empty texts have only the end id. Repeated rows are packed each. Of items with equal scores,
+the one that has waited at the lowest place goes first. A text of any length is cut into pieces of one
+bin each; its ids are held while its last piece waits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,14 +137,19 @@ class VectorBins:
 
 
 def pack(
-    df: DataFrame, *, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int | None = None, loss_column: str | None = None, end_id: int = END_ID, pool: int = 512, with_ids: bool = False,
+    df: DataFrame, *, tokenizer_file: str, id_column: str = "doc_id", text_column: str = "text", max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int | None = None, loss_column: str | None = None, prompt_end: str | None = None, end_id: int = END_ID, pool: int = 512, with_ids: bool = False,
 ) -> DataFrame:
     """Packed pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     The waiting items keep their ids in memory: at most `pool` times `max_tokens` of them.
     loss_column: array<boolean>, whether each token of the text bears loss; where it is null, and for
-    tokens after its end (such as the end id), all do. max_loss_tokens: as many as tokens, if None.
+    tokens after its end (such as the end id), all do. prompt_end: tokens that begin before the end of
+    this string's first place bear none; a text without it has no prompt. max_loss_tokens: as many as
+    tokens, if None.
     """
+    if loss_column is not None and prompt_end is not None:
+        raise ValueError("a mask and a marker can't both say what bears loss")
+    marker = (prompt_end or "").encode()
     on_workers(df.sparkSession)
     limits = (max_tokens, max_segments, max_tokens if max_loss_tokens is None else max_loss_tokens)
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
@@ -152,6 +162,14 @@ def pack(
             raise ValueError("a loss mask is longer than its text's tokens")
         return np.concatenate([np.array(flags, bool), np.ones(size - len(flags), bool)])
 
+    def after_prompt(text: str | None, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+        end = (text or "").encode().find(marker)
+        if end < 0:
+            return None
+        # the end id has no bytes and comes last
+        lengths = np.append(sizes[ids[:-1]], 0)
+        return np.cumsum(lengths) - lengths >= end + len(marker)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordCachedTokenizer.of(tokenizer_file)
         bins, held, key = VectorBins(limits, pool), {}, 0
@@ -176,7 +194,12 @@ def pack(
             for row, ids in enumerate(tokenizer.encoded(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 held[key] = [batch.column(0)[row].as_py(), ids, len(ids)]
-                bins.add(key, len(ids), masked(batch.column(2)[row].as_py(), len(ids)) if loss_column else None)
+                mask = None
+                if loss_column:
+                    mask = masked(batch.column(2)[row].as_py(), len(ids))
+                elif marker:
+                    mask = after_prompt(batch.column(1)[row].as_py(), ids, tokenizer.sizes)
+                bins.add(key, len(ids), mask)
                 key += 1
                 if len(bins.out) >= 4096:
                     yield told(kind)

@@ -13,6 +13,10 @@ from verdigrain.llm.shared import stored
 from verdigrain.session import table
 
 
+#: Loss-bearing tokens of a sequence: below its 2,048 tokens, so that sequences without prompts are closed by it; they have 16 tokens of padding.
+LOSS_TOKENS = 2032
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     own, labels = F.col("base_spans"), lambda c: F.transform(c, lambda s: s["label"])
@@ -26,7 +30,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"))
+    """A document's first line is its prompt; the rest bears loss."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"), prompt_end="\n", max_loss_tokens=LOSS_TOKENS)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

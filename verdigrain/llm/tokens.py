@@ -1,9 +1,11 @@
 """Token ids of a byte-level BPE tokenizer file, with one encoding for each distinct word.
 
 Texts are cut into the words of the tokenizer's own pattern by array operations over their code
-points; a cache of word hashes has the ids of words seen before, and only new words are encoded.
-Results are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; texts that
-hold an added token's own string go through that call.
+points; a cache has the ids of words seen before, and only new words are encoded. The cache is looked
+up by hashes, and every hit is compared with the word itself: words that only share a hash, and words
+of more than 64 characters, are encoded each time. Results are those of
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; texts that hold an added token's
+own string go through that call.
 """
 
 from __future__ import annotations
@@ -73,6 +75,34 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: Words of more characters aren't kept.
+LONGEST = 64
+
+
+def _same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two arrays are equal, pair by pair; no span is empty."""
+    if not len(size):
+        return np.zeros(0, bool)
+    stop = np.cumsum(size)
+    inner = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
+    differ = a[np.repeat(a_at, size) + inner] != b[np.repeat(b_at, size) + inner]
+    return ~np.logical_or.reduceat(differ, stop - size)
+
+
+class _Pool:
+    """A growing array to which spans are added."""
+
+    def __init__(self) -> None:
+        self.data, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def add(self, values: np.ndarray) -> int:
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+        return self.used - len(values)
+
+
 class WordCachedTokenizer:
     """most: distinct words to keep; when there are more, the cache begins anew."""
 
@@ -85,8 +115,13 @@ class WordCachedTokenizer:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         chars = _bytes_of_chars()
-        added = {x["content"] for x in model.get("added_tokens", ())}
-        ranks = {bytes(chars[c] for c in word): number for word, number in model["model"]["vocab"].items() if word not in added}
+        added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+        vocabulary = model["model"]["vocab"]
+        ranks = {bytes(chars[c] for c in word): number for word, number in vocabulary.items() if word not in added}
+        #: the bytes of each id
+        self.sizes = np.zeros(max([*vocabulary.values(), *added.values()]) + 1, np.int64)
+        for word, number in (*ranks.items(), *((x.encode(), number) for x, number in added.items())):
+            self.sizes[number] = len(word)
         self.path, self._exact = path, None
         self.added = sorted(x.encode() for x in added)
         self.words = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -101,47 +136,66 @@ class WordCachedTokenizer:
         return self._exact
 
     def _clear(self) -> None:
+        """Of each known word, in the order of hashes: where its characters and its ids are."""
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.places = np.zeros((0, 4), np.int64)  # characters' start and number, ids' start and number
+        self.chars, self.ids = _Pool(), _Pool()
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hashes) + len(words) > self.most:
+    def _learn(self, whole: str, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > self.most:
             self._clear()
-        ids = [self.words.encode_ordinary(word) for word in words]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += total
+        ids = [self.words.encode_ordinary(whole[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        chars = self.chars.add(points[own]) + np.cumsum(sizes) - sizes
+        first = self.ids.add(np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum()))) + np.cumsum(counts) - counts
         order = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, order, hashes)
-        self.starts = np.insert(self.starts, order, starts)
-        self.lengths = np.insert(self.lengths, order, lengths)
+        self.places = np.insert(self.places, order, np.stack([chars, sizes, first, counts], 1), 0)
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word of each hash, or -1."""
+        found = np.searchsorted(self.hashes, hashes)
+        inner = found < len(self.hashes)
+        found[inner] = np.where(self.hashes[found[inner]] == hashes[inner], found[inner], -1)
+        return np.where(inner, found, -1)
 
-    def _words(self, whole: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, whole: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has; more distinct words than the cache holds go in runs of words."""
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = ends - starts
+        alone = size > LONGEST
+        rows = np.flatnonzero(~alone)
+        distinct, one, which = np.unique(hashes[rows], return_index=True, return_inverse=True)
         if len(distinct) > self.most:
-            runs = [self._words(whole, starts[k : k + self.most], ends[k : k + self.most], hashes[k : k + self.most]) for k in range(0, len(starts), self.most)]
-            return np.concatenate([ids for ids, _ in runs]), np.concatenate([size for _, size in runs])
-        found = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inner = found < len(self.hashes)
-        known[inner] = self.hashes[found[inner]] == distinct[inner]
-        if not known.all():
-            if len(self.hashes) + int((~known).sum()) > self.most:
-                self._clear()
-                known[:] = False
-            self._learn(distinct[~known], [whole[a:b] for a, b in zip(starts[one[~known]].tolist(), ends[one[~known]].tolist(), strict=True)])
-            found = np.searchsorted(self.hashes, distinct)
-        begin, size = self.starts[found][which], self.lengths[found][which]
-        stop = np.cumsum(size)
-        return self.pool[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))], size
+            runs = [self._words(whole, points, *(x[k : k + self.most] for x in (starts, ends, hashes))) for k in range(0, len(starts), self.most)]
+            return np.concatenate([ids for ids, _ in runs]), np.concatenate([n for _, n in runs])
+        first = rows[one]
+        known = self._known(distinct)
+        if len(self.hashes) + int((known < 0).sum()) > self.most:
+            self._clear()
+            known[:] = -1
+        new = first[known < 0]
+        if len(new):
+            self._learn(whole, points, starts[new], size[new], hashes[new])
+            known = self._known(distinct)
+        # a word is the cached one only if its characters are the same
+        place = self.places[known[which]]
+        same = size[rows] == place[:, 1]
+        same[same] = _same(points, starts[rows[same]], self.chars.data, place[same, 0], size[rows[same]])
+        alone[rows[~same]] = True
+        counts = np.zeros(len(starts), np.int64)
+        counts[rows[same]] = place[same, 3]
+        singly = {k: self.words.encode_ordinary(whole[a:b]) for k, a, b in zip(np.flatnonzero(alone).tolist(), starts[alone].tolist(), ends[alone].tolist(), strict=True)}
+        for k, ids in singly.items():
+            counts[k] = len(ids)
+        stop = np.cumsum(counts)
+        out = np.empty(int(stop[-1]), np.uint32)
+        each, begin = counts[rows[same]], stop[rows[same]] - counts[rows[same]]
+        inner = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        out[np.repeat(begin, each) + inner] = self.ids.data[np.repeat(place[same, 2], each) + inner]
+        for k, ids in singly.items():
+            out[stop[k] - counts[k] : stop[k]] = ids
+        return out, counts
 
     def encoded(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -165,7 +219,7 @@ class WordCachedTokenizer:
         starts = word_starts(points, np.unique(at[:-1][at[:-1] < at[1:]]))
         ends = np.append(starts[1:], len(points))
         hashes = textvec.span_hashes(points, starts, ends)
-        ids, size = self._words(whole, starts, ends, hashes)
+        ids, size = self._words(whole, points, starts, ends, hashes)
         stop = np.cumsum(size)
         edge = np.concatenate([[0], stop])[np.searchsorted(starts, at)]
         for k in range(rows):
