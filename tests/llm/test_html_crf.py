@@ -71,3 +71,47 @@ def test_held_out_layouts():
         found = chain.decoded(html_crf.features_of(list(blocks)))
         right, total = right + sum(a == b for a, b in zip(found, labels, strict=True)), total + len(labels)
     assert right > 0.97 * total
+
+
+def test_layouts_without_telling_elements():
+    chain, counts = html_crf.default_chain(), np.zeros((2, 2), int)
+    for blocks, labels in html_crf.labelled_pages.__wrapped__(200, 99, 1):
+        for a, b in zip(chain.decoded(html_crf.features_of(list(blocks))), labels, strict=True):
+            counts[a, b] += 1
+    precision, recall = counts[1, 1] / counts[1].sum(), counts[1, 1] / counts[:, 1].sum()
+    assert precision > 0.9 and recall > 0.9, (precision, recall)
+
+
+def test_same_labels_as_from_listed_features():
+    chain = html_crf.default_chain()
+    pages = [t for t in TRICKY if t] + ["<div class='a b'>x<div class=a>y<p>z</div>t</div><p class=b>" * 5, "<i><div>a</i>b</div>c<a href=x><p>d</a>e</p>", "<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>f"]
+    for page in pages:
+        blocks = html_crf.blocks_of(page)
+        assert chain.labelled(blocks) == chain.decoded(html_crf.features_of(blocks))
+
+
+def test_broken_markup():
+    texts = lambda page: [b.text for b in html_crf.blocks_of(page)]
+    assert texts("a <b c <d") == ["a <b c <d"]
+    assert texts('<p title="x>y">a</p><p title="open>b') == ["a", "b"]
+    assert texts("x<!-- never ends <p>y") == ["x"] and texts("x <y <!-- z") == ["x <y"]
+    assert texts("<script>a</script b>c<script>d") == ["c"]
+    assert texts("<tr><td>a<tr><td>b<tr><th>c") == ["a", "b", "c"] and len(html_crf.blocks_of("<tr><td>a" * 50)[-1].path) == 2
+    assert texts("&#" + "9" * 5000 + ";&#x" + "0" * 6000 + "41; &#0000065;") == ["�A A"]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    chain = html_crf.default_chain()
+    kinds = {
+        "open": lambda n: "<a " * (n // 3), "deep": lambda n: "<div>x" * (n // 6), "stray": lambda n: "<div>" * (n // 18) + "x</i>" * (n // 9), "names": lambda n: "".join(f"<div class=c{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}>x" for k in range(n // 16)),
+        "quotes": lambda n: "<a ''" * (n // 5) + "<a '", "scripts": lambda n: "<script>" + "</script " * (n // 9), "rows": lambda n: "<tr><td>x" * (n // 9), "crossed": lambda n: "<i><p>x</i>" * (n // 11),
+    }
+    for name, make in kinds.items():
+        took = []
+        for size in (1 << 20, 1 << 21, 1 << 20, 1 << 21, 1 << 22):
+            start = time.process_time()
+            html_crf.text_of(make(size), chain)
+            took.append(time.process_time() - start)
+        assert took[4] < 30 and min(took[1], took[3]) < 2.3 * max(min(took[0], took[2]), 0.2), (name, took)

@@ -7,11 +7,13 @@ trained by gradient ascent on the likelihood of labelled pages (forward-backward
 decoded by Viterbi. Whatever is in script, style, head, comment and similar elements is no block.
 
 The labelled pages are made here from layouts with seeded words, one label for each block; training
-takes a second or two on the driver and is the same every time. Callers may train on their own.
+takes some seconds on the driver and is the same every time. Callers may train on their own.
 
 Null html counts as empty; a page without text blocks has an empty text. Unclosed and stray tags are
 handled as browsers do for paragraphs and lists: an end tag closes what it names, if that is open.
-Repeated rows give equal results; extra columns are ignored.
+Time and memory grow with a page's length however deep or broken it is. Of equally good labellings,
+the one with fewer texts from the end counts. Repeated rows give equal results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,103 +41,211 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 _SCOPES = frozenset("ul ol dl table body div article section main aside nav header footer form td th".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
+#: Elements whose start tags end others, with what stops the search for those.
+_CLOSERS = {tag: (tuple(sorted(own)), tuple(sorted(_SCOPES - own))) for tag, own in SELF_CLOSING.items() if tag != "p"}
+
+
+class Node:
+    """An element with its ancestors: tag, words of class, id and role, and the two nearest tags that aren't inline."""
+
+    __slots__ = ("parent", "depth", "tag", "names", "last", "before")
+
+    def __init__(self, parent: "Node | None", tag: str, names: tuple[str, ...]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.depth = 0 if parent is None else parent.depth + 1
+        if tag in INLINE:
+            self.last, self.before = parent.last, parent.before
+        else:
+            self.last, self.before = tag, parent.last if parent is not None else ""
+
+
+ROOT = Node(None, "", ())
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # ancestor tags
-    names: tuple[str, ...]  # words of the ancestors' class, id and role
+    node: Node  # the innermost open element
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The tags of the ancestors, without inline ones."""
+        found, node = [], self.node
+        while node.parent is not None:
+            if node.tag not in INLINE:
+                found.append(node.tag)
+            node = node.parent
+        return tuple(reversed(found))
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; numbers too long for any character are replacement characters."""
+
+    def short(m: re.Match[str]) -> str:
+        digits = (m[1] or m[2]).lstrip("0")
+        return ("&#" if m[1] else "&#x") + (digits or "0") + ";" if len(digits) < 8 else "\ufffd"
+
+    return html.unescape(_LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
+class _Stack:
+    """Open elements; where each tag, each block and each scope was last opened is known without a search."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = [ROOT]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hidden = self.links = 0
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        if tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(Node(self.nodes[-1], tag, names))
+        self.hidden += tag in HIDDEN
+        self.links += tag == "a"
+
+    def drop(self, depth: int) -> None:
+        """Close all elements from this place on."""
+        while len(self.nodes) > depth:
+            tag, place = self.nodes.pop().tag, len(self.nodes)
+            if self.blocks and self.blocks[-1] == place:
+                self.blocks.pop()
+            # an inline element may have ended before those inside it
+            if self.last(tag) == place:
+                self.at[tag].pop()
+                self.hidden -= tag in HIDDEN
+                self.links -= tag == "a"
+
+    def end_inline(self, tag: str) -> None:
+        """An inline element ends though blocks inside it are open."""
+        self.at[tag].pop()
+        self.links -= tag == "a"
+
+    def within(self, depth: int, tags: Iterable[str]) -> bool:
+        """Whether one of some elements is open inside this place."""
+        return any(self.last(t) > depth for t in tags)
+
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks of a page in order; none is empty."""
+    """Leaf blocks of a page in order; none is empty.
+
+    One pass: every search either moves on or is never made again, so time grows with the page. A tag
+    without its end is text; where quotes don't close, tags end at the next ``>`` from there on.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = hidden = links = 0
-    at = 0
+    linked, at, end, quoted = 0, 0, len(page), True
+    last_close = page.rfind(">")
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                found.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), tuple(w for _, names in stack for w in names), min(linked, len(text))))
+                found.append(Block(text, stack.nodes[-1], min(linked, len(text))))
             parts, linked = [], 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not hidden:
+        if text and not stack.hidden:
             if "&" in text:
-                text = html.unescape(text)
+                text = _unescaped(text)
             parts.append(text)
-            if links:
+            if stack.links:
                 linked += len(text.strip())
 
-    def drop(depth: int) -> None:
-        nonlocal hidden, links
-        while len(stack) > depth:
-            tag = stack.pop()[0]
-            hidden -= tag in HIDDEN
-            links -= tag == "a"
+    def tag_end(start: int) -> int:
+        """Where the tag's ``>`` stands."""
+        nonlocal quoted
+        place = start
+        while quoted:
+            stop = _STOP.search(page, place)
+            if stop is None:
+                quoted = False
+            elif stop[0] == ">":
+                return stop.start()
+            else:
+                place = page.find(stop[0], stop.end()) + 1
+                quoted = place > 0
+        return page.find(">", start)
 
-    end = len(page)
     while at < end:
-        match = _TOKEN.search(page, at)
-        if match is None:
+        mark = page.find("<", at)
+        if mark < 0:
             say(page[at:])
             break
-        say(page[at : match.start()])
-        at = match.end()
-        closing, tag, rest = match.group(1), match.group(2), match.group(3)
-        if tag is None:
+        say(page[at:mark])
+        if page.startswith("<!--", mark):
+            close = page.find("-->", mark + 4)
+            at = end if close < 0 else close + 3
+            continue
+        if mark > last_close:
+            # no tag ends any more: what is left is text up to a comment
+            close = page.find("<!--", mark)
+            say(page[mark : end if close < 0 else close])
+            break
+        if page.startswith("<![CDATA[", mark) and (close := page.find("]]>", mark)) >= 0:
+            at = close + 3
             continue
-        tag = tag.lower()
+        if page[mark + 1 : mark + 2] in ("!", "?"):
+            at = page.find(">", mark) + 1
+            continue
+        closing = page.startswith("/", mark + 1)
+        name = _NAME.match(page, mark + 1 + closing)
+        if name is None:
+            say("<")
+            at = mark + 1
+            continue
+        tag, close = name[0].lower(), tag_end(name.end())
+        rest, at = page[name.end() : close], close + 1
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = stack.last(tag)
+            if depth < 0:
+                continue
             # an inline end tag doesn't close a block, nor a list item's end a list around it
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[depth + 1 :])):
-                if tag not in INLINE:
-                    flush()
-                drop(depth)
-            elif depth is not None:
-                if tag == "a":
-                    links -= 1
-                stack[depth] = ("span", stack[depth][1])
+            if tag in INLINE and stack.blocks and stack.blocks[-1] > depth:
+                stack.end_inline(tag)
+                continue
+            if tag not in INLINE:
+                flush()
+            stack.drop(depth)
             continue
         if tag == "br":
             say(" ")
             continue
         if tag not in INLINE:
             flush()
-            if tag in _CLOSES_P:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if depth is not None and not any(t in _SCOPES for t, _ in stack[depth + 1 :]):
-                    drop(depth)
-            if tag in SELF_CLOSING and tag != "p":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SELF_CLOSING[tag]:
-                        drop(k)
-                        break
-                    if stack[k][0] in _SCOPES and stack[k][0] not in SELF_CLOSING[tag]:
-                        break
+            if tag in _CLOSES_P and (depth := stack.last("p")) >= 0 and not stack.within(depth, _SCOPES):
+                stack.drop(depth)
+            if tag in _CLOSERS:
+                own, walls = _CLOSERS[tag]
+                wall = max(map(stack.last, walls))
+                while (depth := max(map(stack.last, own))) > wall:
+                    stack.drop(depth)
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path", "use"):
             continue
         names: tuple[str, ...] = ()
-        if rest and ("=" in rest):
+        if "=" in rest:
             names = tuple(w for m in _ATTRIBUTE.finditer(rest) for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            over = _END[tag].search(page, at)
+            close = page.find(">", over.end()) if over else -1
+            at = end if close < 0 else close + 1
             continue
-        stack.append((tag, names))
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        stack.push(tag, names)
     flush()
     return found
 
@@ -153,21 +264,34 @@ def _place(name: str) -> int:
 _place = lru_cache(1 << 14)(_place)
 
 
+def _element_features(node: Node) -> list[str]:
+    """What an element says of every block inside it."""
+    own = [f"named:{w}" for w in dict.fromkeys(node.names)]
+    if node.tag not in INLINE and node.tag not in ("html", "body"):
+        own.append(f"in:{node.tag}")
+    return own
+
+
+def _block_features(blocks: list[Block], k: int) -> set[str]:
+    """What a block's own text, place and nearest elements say."""
+    b, n = blocks[k], len(blocks)
+    size, words = len(b.text), b.text.count(" ") + 1
+    names = {"bias", f"size:{min(9, size.bit_length())}", f"words:{min(7, words.bit_length())}", f"linked:{4 * b.linked // max(1, size)}", f"tag:{b.node.last}", f"end:{b.text[-1] in '.!?…:\"”»'}", f"place:{4 * k // n}", f"first:{k == 0}", f"last:{k == n - 1}"}
+    if "©" in b.text[:40]:
+        names.add("copyright")
+    if b.node.before:
+        names.add(f"parents:{b.node.before}>{b.node.last}")
+    return names
+
+
 def features_of(blocks: list[Block]) -> list[list[int]]:
     """The places of each block's features: ancestors, their names, and the text's shape."""
     out = []
-    n = len(blocks)
     for k, b in enumerate(blocks):
-        size = len(b.text)
-        words = b.text.count(" ") + 1
-        share = 4 * b.linked // max(1, size)
-        names = {"bias", f"size:{min(9, size.bit_length())}", f"words:{min(7, words.bit_length())}", f"linked:{share}", f"tag:{b.path[-1] if b.path else ''}", f"end:{b.text[-1] in '.!?…:\"”»'}", f"place:{4 * k // n}", f"first:{k == 0}", f"last:{k == n - 1}"}
-        names.update(f"in:{t}" for t in b.path if t not in ("html", "body"))
-        names.update(f"named:{w}" for w in b.names)
-        if b.text[0] in "©" or "©" in b.text[:40]:
-            names.add("copyright")
-        if len(b.path) > 1:
-            names.add(f"parents:{b.path[-2]}>{b.path[-1]}")
+        names, node = _block_features(blocks, k), b.node
+        while node.parent is not None:
+            names.update(_element_features(node))
+            node = node.parent
         out.append([_place(x) for x in sorted(names)])
     return out
 
@@ -177,6 +301,9 @@ class Chain:
 
     def __init__(self, weights: np.ndarray, moves: np.ndarray) -> None:
         self.weights, self.moves = weights, moves
+        # whole numbers add up to the same in any order
+        self.gains = np.rint((weights[:, 1] - weights[:, 0]) * 2**30).astype(np.int64).tolist()
+        self.steps = np.rint(moves * 2**30).astype(np.int64).tolist()
 
     @staticmethod
     def trained(pages: list[tuple[list[list[int]], list[int]]], *, rounds: int = 200, rate: float = 0.5, penalty: float = 2e-4) -> "Chain":
@@ -226,13 +353,38 @@ class Chain:
         return unary, pair.sum((0, 1))
 
     def decoded(self, rows: list[list[int]]) -> list[int]:
-        """The best labels of a page by Viterbi; of equal paths, the one with fewer texts from the end."""
-        if not rows:
+        """The best labels of a page, given its blocks' features."""
+        gains = self.gains
+        return self.best([sum(gains[p] for p in row) for row in rows])
+
+    def labelled(self, blocks: list[Block]) -> list[int]:
+        """``decoded(features_of(blocks))`` in time that grows with the page: what elements say is added as they open and taken off as they close."""
+        gains, path, seen = self.gains, [ROOT], Counter()
+        total, gain_of = 0, []
+        for k, b in enumerate(blocks):
+            fresh, node = [], b.node
+            while node.depth >= len(path) or path[node.depth] is not node:
+                fresh.append(node)
+                node = node.parent
+            while len(path) > node.depth + 1:
+                for name in _element_features(path.pop()):
+                    seen[name] -= 1
+                    total -= 0 if seen[name] else gains[_place(name)]
+            for node in reversed(fresh):
+                path.append(node)
+                for name in _element_features(node):
+                    total += 0 if seen[name] else gains[_place(name)]
+                    seen[name] += 1
+            # names may be of elements and blocks both: none is
+            gain_of.append(total + sum(gains[_place(name)] for name in _block_features(blocks, k)))
+        return self.best(gain_of)
+
+    def best(self, gains: list[int]) -> list[int]:
+        """Labels by Viterbi from each block's gain of label 1 over label 0; of equal paths, the one with fewer texts from the end."""
+        if not gains:
             return []
-        counts = [len(r) for r in rows]
-        edges = np.cumsum([0, *counts[:-1]])
-        scores = np.add.reduceat(self.weights[np.fromiter((p for r in rows for p in r), np.int64, sum(counts))], edges).tolist()
-        (stay, up), (down, keep) = self.moves.tolist()
+        (stay, up), (down, keep) = self.steps
+        scores = [(0, x) for x in gains]
         a, b = scores[0]
         back = []
         for x, y in scores[1:]:
@@ -249,7 +401,7 @@ class Chain:
 
 def text_of(page: str, chain: Chain) -> str:
     blocks = blocks_of(page)
-    return "\n\n".join(b.text for b, label in zip(blocks, chain.decoded(features_of(blocks)), strict=True) if label)
+    return "\n\n".join(b.text for b, label in zip(blocks, chain.labelled(blocks), strict=True) if label)
 
 
 # What sides of pages say and what their elements are named.
@@ -265,9 +417,18 @@ _SIDES = {
 }
 
 
+def _labelled(page: str, mark: str) -> tuple[tuple[Block, ...], tuple[int, ...]]:
+    blocks = blocks_of(page)
+    return tuple(Block(b.text.replace(mark, "").strip() or "x", b.node, b.linked) for b in blocks), tuple(int(mark in b.text) for b in blocks)
+
+
 @lru_cache(1)
-def labelled_pages(n: int = 500, seed: int = 7) -> tuple[tuple[tuple[Block, ...], tuple[int, ...]], ...]:
-    """Pages from random layouts, as blocks with their labels: main text carries a mark that is taken off again."""
+def labelled_pages(n: int = 480, seed: int = 7, unlike: int = 4) -> tuple[tuple[tuple[Block, ...], tuple[int, ...]], ...]:
+    """Pages from random layouts, as blocks with their labels: main text carries a mark that is taken off again.
+
+    Every so many pages (`unlike`; 0: none, 1: all), one has nested tables, divs with meaningless names, or
+    comments inside its article.
+    """
     draw = random.Random(seed)
     mark = "⁣"
 
@@ -322,8 +483,30 @@ def labelled_pages(n: int = 500, seed: int = 7) -> tuple[tuple[tuple[Block, ...]
             inner = f"<ul>{inner}</ul>"
         return f"<{tag}{name}>{inner}</{tag}>"
 
+    def soup() -> str:
+        """A page without telling elements: nested tables or divs whose names mean nothing, comments inside the main part."""
+        name = lambda: draw.choice(["", f' class="{draw.choice("abcxyz")}{draw.randint(1, 99)}"'])
+        link = lambda: f"<a href='/{draw.randint(1, 99)}'>{words(draw.randint(1, 3), False)}</a>"
+        menu = draw.choice([" | ", "<br>", " "]).join(link() for _ in range(draw.randint(2, 9)))
+        foot = f"&copy; {draw.randint(1990, 2030)} {words(2, False)}" + draw.choice(["", " &middot; " + sentence_block()])
+        own = [f"{mark}{sentence_block()}" for _ in range(draw.choice([1, 2, 4, 7]))]
+        said = [draw.choice(_SIDES["comments"][1] + [sentence_block()]) for _ in range(draw.choice([0, 0, 1, 3]))]
+        kind = draw.random()
+        if kind < 0.4:
+            cell = draw.choice(["<br><br>".join(own), "".join(f"<p>{t}</p>" for t in own), "".join(f"<table><tr><td>{t}</td></tr></table>" for t in own)])
+            rest = f"<tr><td colspan=3>{foot}</td></tr>" if draw.random() < 0.8 else ""
+            return f"<table{name()}><tr><td colspan=3>{menu}</td></tr><tr><td{name()}>{'<br>'.join(link() for _ in range(draw.randint(2, 6)))}</td><td{name()}>{cell}</td><td>{link()}</td></tr>{rest}</table>"
+        if kind < 0.75:
+            cells = "".join(f"<div{name()}>{t}</div>" for t in own)
+            return f"<div{name()}><div{name()}>{menu}</div><div{name()}><div{name()}>{cells}</div></div><div{name()}>{foot}</div></div>"
+        talk = f"<{draw.choice(['section', 'div', 'ol'])} {draw.choice(['class', 'id'])}='{draw.choice(_SIDES['comments'][0].split())}'>" + "".join(draw.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>"]).format(t) for t in said or ["Reply"])
+        return f"<article>{'' if draw.random() < 0.5 else f'<h1>{mark}{words(4, False)}</h1>'}{''.join(f'<p>{t}</p>' for t in own)}{talk}</article><footer>{foot}</footer>"
+
     found = []
-    for _ in range(n):
+    for number in range(n):
+        if unlike and number % unlike == unlike - 1:
+            found.append(_labelled(f"<html><body>{soup()}</body></html>", mark))
+            continue
         before = [side(k) for k in ("head", "menu", "notice", "ad") if draw.random() < 0.6]
         after = [side(k) for k in ("comments", "side", "ad", "form", "notice", "foot") if draw.random() < (0.85 if k == "foot" else 0.4)]
         draw.shuffle(before)
@@ -337,9 +520,7 @@ def labelled_pages(n: int = 500, seed: int = 7) -> tuple[tuple[tuple[Block, ...]
         if draw.random() < 0.1:
             body = f"<header>{mark and ''}{side('menu')}</header>" + body
         page = f"<html><head><title>t</title></head><body>{''.join(before)}{open_}{body}{close}{''.join(after)}</body></html>"
-        blocks = blocks_of(page)
-        labels = tuple(int(mark in b.text) for b in blocks)
-        found.append((tuple(Block(b.text.replace(mark, "").strip() or "x", b.path, b.names, b.linked) for b in blocks), labels))
+        found.append(_labelled(page, mark))
     return tuple(found)
 
 
