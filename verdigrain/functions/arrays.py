@@ -12,9 +12,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, step: Callable[[Column, Column], Column], *, levels: int = 2, block: int = 256) -> Column:
+    """Each element folded with all before it by an associative step, which keeps the elements' type.
+
+    A fold that appends to an array copies it each time. So blocks are folded each, then their last
+    elements in the same way, and those are brought into the blocks: for up to some millions of elements
+    work is about the length times the block.
+    """
+    last = lambda a: F.element_at(a, -1)
+    folded = lambda a: F.aggregate(F.slice(a, F.lit(2), F.size(a)), F.slice(a, 1, 1), lambda got, x: F.concat(got, F.array(step(last(got), x))))
+
+    def of(v: Column) -> Column:
+        if levels == 1:
+            made = folded(v)
+        else:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda i: F.slice(v, i * block + 1, F.lit(block)))
+            moved = lambda parts, totals: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: step(F.get(totals, i - 1), x)))))
+            made = let(F.transform(blocks, folded), lambda parts: let(running(F.transform(parts, last), step, levels=levels - 1, block=block), lambda totals: moved(parts, totals)))
+        return F.when(F.size(v) > 0, made).otherwise(v)
+
+    return let(values, of)
+
+
 def prefix_sums(values: Column) -> Column:
     """0, then the sum of the first element, of the first two, and so on."""
-    return F.aggregate(values, F.array(F.lit(0).cast("bigint")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+    return F.concat(F.array(F.lit(0).cast("bigint")), running(F.transform(values, lambda x: x.cast("bigint")), lambda a, b: a + b))
 
 
 def at(values: Column, index: Column) -> Column:
