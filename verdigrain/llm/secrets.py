@@ -4,11 +4,12 @@ Two first-order models of character classes, one of random strings and one of or
 are counted from labelled samples. A run of at least 20 key characters with letters and digits is a
 secret where the log-likelihood ratio of the models favours the random one by `least` nats for each
 character; runs that overlap a span of a fixed kind aren't told again. All steps are DataFrame
-functions: the ratios are one literal array, and spans come from a fold over the pieces of a text, each
-of which ends with a match.
+functions: the ratios are one literal array, and spans come from running sums of the lengths of a text's
+pieces, each of which ends with a match.
 
-Null texts count as empty and have no spans. Offsets are code points, ends exclusive. Repeated rows
-give equal results; extra columns are ignored.
+Null texts count as empty and have no spans. Offsets are code points, ends exclusive. Spans are in the
+order of start, kind, end; kinds may overlap. Work grows in proportion to a text's length, however many
+matches it has and however long a run is. Repeated rows give equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigrain.functions.arrays import let, running
 from verdigrain.llm.shared import text_or_empty
 
 # The kinds in order, and their patterns (Java syntax).
@@ -40,16 +42,13 @@ day hour minute second size length width height color image video audio text str
 class method function module package library version release build test debug trace network socket port host address""".split()
 
 
+#: The class of each key character: lower-case and upper-case letters, digits as one, others.
+_CODES = {**{c: k for k, c in enumerate(_LETTERS)}, **{c.upper(): 26 + k for k, c in enumerate(_LETTERS)}, **dict.fromkeys("0123456789", 52), **{c: 53 + k for k, c in enumerate(_OTHERS)}}
+
+
 def class_of(char: Column) -> Column:
-    """The class of a key character, from 0: lower-case and upper-case letters, digits as one, others."""
-    table = [0] * 128
-    for k, c in enumerate(_LETTERS):
-        table[ord(c)], table[ord(c.upper())] = k, 26 + k
-    for c in "0123456789":
-        table[ord(c)] = 52
-    for k, c in enumerate(_OTHERS):
-        table[ord(c)] = 53 + k
-    return F.element_at(_literal(table), F.ascii(char) + 1)
+    """The class of a key character, from 0."""
+    return F.element_at(_literal([_CODES.get(chr(c), 0) for c in range(128)]), F.ascii(char) + 1)
 
 
 def _literal(numbers: list[int]) -> Column:
@@ -94,29 +93,50 @@ def train(samples: DataFrame, *, prior: float = 0.5) -> list[int]:
 
 
 def ratio(run: Column, model: list[int]) -> Column:
-    """The mean log-likelihood ratio of a run's characters, in nats."""
-    table = _literal(model)
-    at = lambda i: class_of(F.substring(run, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0).cast("bigint"), lambda s, i: s + F.element_at(table, at(i) * CLASSES + at(i + 1) + 1))
+    """The mean log-likelihood ratio of a run's characters, in nats; the run is cut into pieces, each with the character before it."""
+    codes = [_CODES.get(chr(c), 0) for c in range(128)]
+    table = _literal([model[a * CLASSES + b] for a in codes for b in codes])
+    pair = lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1)
+    pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), pair)
+    summed = lambda c: F.aggregate(pairs(c), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    step = lambda got, piece: F.struct((got["sum"] + let(F.split(F.concat(got["last"], piece), ""), summed)).alias("sum"), F.right(piece, F.lit(1)).alias("last"))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit("").alias("last"))
+    total = F.aggregate(F.regexp_extract_all(run, F.lit("(?s).{1,1024}"), F.lit(0)), start, step)["sum"]
     return total / (F.length(run) - 1) / 1000
 
 
-def _let(value: Column, body) -> Column:
-    """An expression over a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _placed(pieces: Column, pattern: str, least: int) -> Column:
     """start, end and match of pieces of a text, each of which ends with a match; shorter matches are left out."""
-    kind = "array<struct<start:bigint,end:bigint,match:string>>"
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["end"] + F.length(piece)
-        told = lambda m: F.when(F.length(m) >= least, F.concat(state["found"], F.array(F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))))).otherwise(state["found"])
-        found = F.when(F.length(piece) < least, state["found"]).otherwise(F.coalesce(_let(F.regexp_substr(piece, F.lit(pattern)), lambda m: F.when(m.isNotNull(), told(m))), state["found"]))
-        return F.struct(end.alias("end"), found.alias("found"))
+    def of(own: Column) -> Column:
+        ends = running(F.transform(own, lambda p: F.length(p).cast("bigint")), lambda a, b: a + b)
+        found = lambda e: F.transform(own, lambda p, i: F.struct(F.element_at(e, i + 1).alias("end"), F.when(F.length(p) >= least, F.regexp_substr(p, F.lit(pattern))).alias("match")))
+        long = F.filter(let(ends, found), lambda m: F.length(m["match"]) >= least)
+        return F.transform(long, lambda m: F.struct((m["end"] - F.length(m["match"])).alias("start"), m["end"].alias("end"), m["match"].alias("match")))
+
+    return let(pieces, of)
+
+
+def clear_of(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps; both are sorted by start, and runs don't overlap each other.
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(kind).alias("found")), step)["found"]
+    All spans in the order of start: a run is clear if the base spans before it end by its start (a running
+    maximum) and those after it begin at its end or later (a running minimum from the end).
+    """
+    never = F.lit(1 << 62).cast("bigint")
+    every = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("run"), b["end"].alias("end"), F.lit(-1).alias("at"))),
+        F.transform(runs, lambda m, i: F.struct(m["start"].alias("start"), F.lit(1).alias("run"), m["end"].alias("end"), i.alias("at"))),
+    ))
+
+    def of(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: F.when(s["run"] == 0, s["end"]).otherwise(F.lit(-1).cast("bigint"))), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["run"] == 0, s["start"]).otherwise(never))), F.least))
+        good = lambda r, a: F.filter(F.transform(spans, lambda s, i: F.when((s["run"] == 1) & (F.element_at(r, i + 1) <= s["start"]) & (F.element_at(a, i + 1) >= s["end"]), s["at"])), lambda k: k.isNotNull())
+        return let(reach, lambda r: let(ahead, lambda a: good(r, a)))
+
+    clear = let(every, of)
+    return F.when(F.size(runs) == 0, runs).when(F.size(base) == 0, runs).otherwise(let(runs, lambda m: F.transform(clear, lambda k: F.element_at(m, k + 1))))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -142,14 +162,21 @@ def scan(df: DataFrame, *, model: list[int] | None = None, id_column: str = "doc
     assign = F.when(may_assign, F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)).otherwise(none)
     access = F.when(text.contains("AKIA"), matches(text, ACCESS)).otherwise(none)
     hexes = F.when(text.rlike(HEX), matches(text, HEX)).otherwise(none)
+    may_mix = text.rlike("[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]")
+    told = lambda column, k: F.transform(column, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("rank"), m["end"].alias("end"), F.lit(KINDS[k]).alias("kind")))
+    assign = F.when(may_assign, F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)).otherwise(none)
+    access = F.when(text.contains("AKIA"), matches(text, ACCESS)).otherwise(none)
+    hexes = F.when(text.rlike(HEX), matches(text, HEX)).otherwise(none)
     mixed = F.when(text.rlike("[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"), F.filter(runs(text, RUN_CHARS, RUN_LEAST), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))).otherwise(none)
 
     def with_others(base: Column) -> Column:
-        free = F.filter(mixed, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        telling = lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
+        others = F.when(may_mix, F.filter(runs(text, RUN_CHARS, RUN_LEAST), telling)).otherwise(none)
+        free = let(others, lambda m: clear_of(m, base))
         return F.array_sort(F.concat(base, told(F.filter(free, lambda m: ratio(m["match"], model) >= least), 3)))
 
     rows = df.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
-    return rows.select(F.col("id").alias(id_column), _let(F.array_sort(F.concat(told(assign, 0), told(access, 1), told(hexes, 2))), with_others).alias("spans"))
+    return rows.select(F.col("id").alias(id_column), let(F.array_sort(F.concat(told(assign, 0), told(access, 1), told(hexes, 2))), with_others).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
