@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigrain.llm.shared import stored, text_or_empty
+from verdigrain.llm.shared import dropped_tables, stored, text_or_empty
+from verdigrain.session import dealt_by_range
 
 DIGITS = 3
 LEVELS = 5
@@ -32,27 +33,42 @@ def hash_of(id_column: str) -> Column:
     return F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], most: float = 3.0) -> DataFrame:
+def _running(ranged: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows of dealt_by_range with the sums of all rows before them (``_before_``) and of all rows (``_all_``).
+
+    A range is summed in one task; of all ranges only their totals meet.
+    """
+    by = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    earlier, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = by.select("_range", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_early_{n}") for n in sums], *[F.sum(f"_sum_{n}").over(whole).alias(f"_all_{n}") for n in sums])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = ranged.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(totals), "_range")
+    return met.withColumns({f"_before_{n}": F.col(f"_early_{n}") + F.col(f"_own_{n}") for n in sums}).drop("_range", *[f"_{k}_{n}" for n in sums for k in ("early", "own")])
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...], most: float = 3.0, held: list[str] | None = None) -> DataFrame:
     """Of a table of source and source_size: target, by water-filling under `most` times the size.
 
-    A table with one row for each source is numbered and accumulated here in one task.
+    Sources are numbered and accumulated by ranges of their names and needs, so that any number of them
+    is shared out among tasks.
     """
+    by_name = [F.col("source").isNull(), F.col("source").cast("binary")]
+    named = _running(dealt_by_range(sizes, *by_name, held=held), by_name, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_before_place") % len(weights) + 1).cast("int")).cast("long")
     # sources that reach their cap first have the smallest size for their weight
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight.cast("long"))
-    by_need = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").isNull(), F.col("source").cast("binary"))
-    whole = Window.partitionBy()
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("total", F.sum("source_size").over(whole)).withColumn("rest", F.col("total") - F.lit(int(most)) * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-    rows = rows.withColumn("weights", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    share = F.col("rest").cast("double") * F.col("weight") / F.col("weights")
-    above = share > (F.lit(int(most)) * F.col("source_size")).cast("double")
+    rows = named.select("source", "source_size", weight.alias("weight"))
+    by_need = [F.col("source_size") / F.col("weight"), *by_name]
+    rows = _running(dealt_by_range(rows, *by_need, held=held), by_need, {"place": F.lit(1), "size": F.col("source_size"), "weight": F.col("weight")})
+    rows = rows.withColumns({"rest": F.col("_all_size") - F.lit(int(most)) * F.col("_before_size"), "weights": F.col("_all_weight") - F.col("_before_weight")})
+    cap = (F.lit(int(most)) * F.col("source_size")).cast("double")
+    above = F.col("rest").cast("double") * F.col("weight") / F.col("weights") > cap
     # the first source that isn't above its cap sets the level for all that follow it
-    rows = rows.withColumn("place", F.row_number().over(by_need)).withColumn("above", above)
-    rows = rows.withColumn("level", F.min(F.when(~F.col("above"), F.struct("place", "rest", "weights"))).over(whole))
-    target = F.when(F.col("place") < F.col("level.place"), (F.lit(int(most)) * F.col("source_size")).cast("double")).otherwise(F.col("level.rest").cast("double") * F.col("weight") / F.col("level.weights"))
-    return rows.select("source", "source_size", F.coalesce(F.when(F.col("total") == 0, F.lit(0.0)).otherwise(target), (F.lit(int(most)) * F.col("source_size")).cast("double")).alias("target"))
+    level = rows.agg(F.min(F.when(~above, F.struct("_before_place", "rest", "weights")))).first()[0]
+    if level is None:
+        return rows.select("source", "source_size", cap.alias("target"))
+    share = F.lit(float(level.rest)) * F.col("weight") / F.lit(level.weights)
+    target = F.when(F.col("_before_place") < level["_before_place"], cap).otherwise(share)
+    return rows.select("source", "source_size", F.when(F.col("_all_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
 
 
 def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
@@ -63,7 +79,8 @@ def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
 def _thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """Of rows of source, size and hash: by source, its target, whole repeats, the hash at which the budget runs out, and the words left there."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = stored(targets(sizes, weights, most), "mix-targets")
+    held: list[str] = []
+    plan = stored(targets(stored(sizes, "mix-sources", held), weights, most, held), "mix-targets", held)
     goal = F.floor("target").cast("long")
     repeats = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(goal / F.col("source_size"))).cast("long")
     state = plan.withColumn("repeats", repeats).withColumn("budget", goal - F.col("repeats") * F.col("source_size")).withColumn("prefix", F.lit(""))
@@ -79,8 +96,10 @@ def _thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> Dat
         # the budget runs out in the first bucket whose running sum exceeds it
         crossing = joined.where(F.col("b.upto") > F.col("s.budget")).groupBy(F.col("s.source").alias("source")).agg(F.min(F.struct("b.prefix", "b.words", "b.upto")).alias("b"))
         after = state.drop("prefix").alias("s").join(crossing.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
-        state = stored(after.select("s.source", "source_size", "target", "repeats", (F.col("budget") - F.coalesce(F.col("c.b.upto") - F.col("c.b.words"), F.lit(0))).alias("budget"), F.coalesce("c.b.prefix", F.lit("g")).alias("prefix"), F.coalesce("c.b.words", F.lit(0)).alias("words")), "mix-level")
+        state = stored(after.select("s.source", "source_size", "target", "repeats", (F.col("budget") - F.coalesce(F.col("c.b.upto") - F.col("c.b.words"), F.lit(0))).alias("budget"), F.coalesce("c.b.prefix", F.lit("g")).alias("prefix"), F.coalesce("c.b.words", F.lit(0)).alias("words")), "mix-level", held)
         level = _small(state)
+    # the last level has all that is needed
+    dropped_tables(rows.sparkSession, held[:-1])
     return level
 
 

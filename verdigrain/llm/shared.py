@@ -2,51 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that vectorised code works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
-
+from verdigrain.session import dropped_tables, fresh_path, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="verdigrain-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["buffers", "dropped_tables", "fresh_path", "hot_keys", "join_hot", "shared_dir", "slices", "stored", "text_or_empty"]
 
+#: Bytes of text that vectorised code works on at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def join_hot(rows: DataFrame, leads: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows.join(leads, keys) where some keys hold much of the rows: those in `hot`, fewer than a thousand.
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: this cuts the lineage at stored files."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Hot leads are broadcast and meet the rows where those are; the others meet by sort-merge.
+    """
+    few = F.broadcast(hot.select(*keys))
+    near = rows.join(F.broadcast(leads.join(few, keys, "left_semi")), keys)
+    return near.unionByName(rows.join(few, keys, "left_anti").join(leads.hint("merge"), keys))
 
 
-def dropped_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that no lazy result reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def hot_keys(groups: DataFrame, size: str) -> DataFrame:
+    """The groups that hold over a thousandth of all rows each: there are fewer than a thousand of them."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    return groups.where(F.col(size) * 1000 > total)
 
 
 def text_or_empty(column: str = "text"):
