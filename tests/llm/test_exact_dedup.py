@@ -32,7 +32,7 @@ def test_whole_table(spark):
 
 def test_kept_rows_and_batches(spark):
     docs = documents(spark)
-    index = exact_dedup.DigestIndex(spark)
+    index = exact_dedup.DigestIndex(spark, name="digests_of_two_batches")
     kept = exact_dedup.kept_rows(docs, index)
     assert kept.columns == docs.columns
     texts = [r.text or "" for r in kept.collect()]
@@ -42,6 +42,22 @@ def test_kept_rows_and_batches(spark):
     found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(later, index).collect()}
     assert found == {100: (6, False), 101: (102, False), 102: (102, True)}
     assert index.table().where("keep_id = 102").count() == 1
+    before = sorted(map(str, index.rows().collect()))
+    index.compact()
+    assert sorted(map(str, index.rows().collect())) == sorted(map(str, index.table().collect())) == before
+    files = [f for f in index.rows().inputFiles() if "part-" in f]
+    assert len(files) <= index.buckets
+    again = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(later, index).collect()}
+    assert again == {100: (6, False), 101: (102, False), 102: (102, True)}
+    index.forget()
+
+
+def test_string_ids_and_no_tables_left(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "doc_id string, text string")
+    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(rows).collect()}
+    assert found == {"a": ("b", False), "b": ("b", True), "c": ("c", True)}
+    assert sorted(r.doc_id for r in exact_dedup.kept_rows(rows).collect()) == ["b", "c"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def test_empty_table(spark):
@@ -49,7 +65,7 @@ def test_empty_table(spark):
 
 
 def test_index_is_not_moved(spark):
-    index = exact_dedup.DigestIndex(spark)
+    index = exact_dedup.DigestIndex(spark, name="digests_not_moved")
     new = exact_dedup.counted(documents(spark)).groupBy("digest").count()
     plan = new.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" in plan

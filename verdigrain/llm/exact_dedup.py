@@ -8,7 +8,13 @@ shuffle of the index, and what is new is appended. All steps are DataFrame funct
 Texts are equal when they are identical; null counts as empty. Of equal rows in a batch the largest
 id stays; an id that the index has stays for good. Rows with the same id and text are copies too, and
 one of them stays. Null ids come before all others; where all copies have one, keep_id is null and
-one of them stays. An empty batch adds nothing. Extra columns are ignored by the index.
+one of them stays. An empty batch adds nothing. Extra columns are ignored by the index. Ids may have
+any type that sorts; the index keeps the type of its first batch. A digest that holds over a thousandth
+of a batch's rows, such as that of empty texts, is broadcast back to them.
+
+Every batch adds a file to each bucket; ``compact`` brings them back to one. Choose `buckets` for the
+size that the index will have, at some millions of digests each. An index that isn't named is
+temporary: it leaves the catalogue once its rows are added, and its files stay for the lazy result.
 """
 
 from __future__ import annotations
@@ -18,9 +24,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigrain.llm.shared import shared_dir, stored, text_or_empty
+from verdigrain.llm.shared import dropped_tables, hot_keys, join_hot, shared_dir, stored, text_or_empty
 
-SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
 
 def digest(text_column: str = "text") -> Column:
@@ -30,14 +35,17 @@ def digest(text_column: str = "text") -> Column:
 class DigestIndex:
     """digest binary, keep_id, group_size (of the batch that brought it)."""
 
-    def __init__(self, spark: SparkSession, *, name: str | None = None, path: str | None = None, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, *, name: str | None = None, path: str | None = None, buckets: int | None = None, id_type: str = "bigint") -> None:
         self.spark = spark
+        self.temporary = name is None
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/{self.name}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+        if spark.catalog.tableExists(self.name):
+            id_type = dict(spark.table(self.name).dtypes)["keep_id"]
+        self.id_type, self.schema = id_type, f"digest binary, keep_id {id_type}, group_size bigint"
         if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], SCHEMA))
+            self._append(spark.createDataFrame([], self.schema))
 
     def table(self) -> DataFrame:
         """The index with its buckets, for joins that needn't move it."""
@@ -45,13 +53,27 @@ class DigestIndex:
 
     def rows(self) -> DataFrame:
         """The same files without buckets: a join can split a hot digest of the other side."""
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def add(self, batch: DataFrame, *, id_column: str = "doc_id") -> None:
-        """Append the digests of (digest, id) rows that the index doesn't have."""
+    def add(self, batch: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
+        """Append the digests of (digest, id, copies) rows that the index doesn't have; gives the batch's groups."""
         # stored: else the optimiser moves the anti-join below the aggregation, and all copies of a digest meet in one task
         found = stored(batch.groupBy("digest").agg(F.max(id_column).alias("keep_id"), F.sum("copies").alias("group_size")), "dedup-new")
-        self._append(found.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("keep_id").cast("long"), "group_size"))
+        self._append(found.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("keep_id").cast(self.id_type), "group_size"))
+        return found
+
+    def compact(self) -> None:
+        """Rewrite the index with one sorted file for each bucket."""
+        new = DigestIndex(self.spark, buckets=self.buckets, id_type=self.id_type)
+        new._append(self.rows())
+        self.forget()
+        self.spark.sql(f"ALTER TABLE {new.name} RENAME TO {self.name}")
+        dropped_tables(self.spark, [self.path])
+        self.path = new.path
+
+    def forget(self) -> None:
+        """Take the table out of the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def _append(self, rows: DataFrame) -> None:
         (rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
@@ -59,6 +81,10 @@ class DigestIndex:
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
 
+def _index_for(df: DataFrame, id_column: str) -> DigestIndex:
+    return DigestIndex(df.sparkSession, id_type=dict(df.dtypes)[id_column])
+
+
 def counted(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """digest, id and how many rows have both."""
     return df.select(digest(text_column).alias("digest"), id_column).groupBy("digest", id_column).agg(F.count(F.lit(1)).alias("copies"))
@@ -66,11 +92,13 @@ def counted(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
 
 def dedup(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row's id, keep_id, group_size, kept, text_sha256, after adding the rows to the index."""
-    index = index or DigestIndex(df.sparkSession)
-    # stored: the join below can split a hot digest only if no aggregate stands before it
+    index = index or _index_for(df, id_column)
+    # stored: the text is hashed once
     rows = stored(counted(df, id_column=id_column, text_column=text_column), "dedup-rows")
-    index.add(rows, id_column=id_column)
-    joined = rows.join(index.rows().hint("merge"), "digest")
+    groups = index.add(rows, id_column=id_column)
+    joined = join_hot(rows, index.rows(), ["digest"], hot_keys(groups, "group_size"))
+    if index.temporary:
+        index.forget()
     return joined.select(id_column, "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"), F.lower(F.hex("digest")).alias("text_sha256")).select(
         id_column, "keep_id", "group_size", (F.col(id_column).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256",
     )
@@ -78,10 +106,12 @@ def dedup(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "
 
 def kept_rows(df: DataFrame, index: DigestIndex | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of a batch that stay, with all their columns."""
-    index = index or DigestIndex(df.sparkSession)
+    index = index or _index_for(df, id_column)
     # each task sends one row for each of its digests
     index.add(df.select(digest(text_column).alias("digest"), id_column, F.lit(1).alias("copies")), id_column=id_column)
     keep = index.rows().select(F.col("digest").alias("__index_digest"), F.col("keep_id").alias("__index_keep_id"))
+    if index.temporary:
+        index.forget()
     rows = df.withColumn("__index_digest", digest(text_column))
     met = rows.join(keep.hint("merge"), (rows["__index_digest"] == keep["__index_digest"]) & rows[id_column].eqNullSafe(keep["__index_keep_id"]), "left_semi")
     # rows that repeat both id and text
