@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigrain.llm import queries, warc
 
@@ -52,13 +54,12 @@ def test_whole_table(spark):
 
 
 def test_empty_table(spark):
-    path = warc.write_archives(warc.converted(pages(spark).where("false")))
-    assert warc.revisits(warc.read_archives(spark, path)).count() == 0
+    assert warc.resolved(warc.read_archives(spark, warc.archived(pages(spark).where("false")))).count() == 0
 
 
 def test_small_payloads_stay(spark):
-    path = warc.write_archives(warc.converted(pages(spark).where("page_id IN (0, 8)")))
-    assert {r.record_type for r in warc.revisits(warc.read_archives(spark, path), least_bytes=9).collect()} == {"response"}
+    path = warc.archived(pages(spark).where("page_id IN (0, 8)"), least_bytes=9)
+    assert {r.record_type for r in warc.resolved(warc.read_archives(spark, path)).collect()} == {"response"}
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -67,7 +68,8 @@ def test_arc_versions(version, spark, tmp_path):
     data = warc.arc_file(records, version)
     found = list(warc.arc_records(data))
     assert [(r.url, r.date, r.body, r.version) for r in found] == [("http://a/%20b", "20010203040506", records[0][4], version), ("dns:a", "2001", b"", version)]
-    assert list(warc.arc_records(gzip.compress(data[:200]) + gzip.compress(data[200:]))) == found
+    for cut in (1, 60, 200, len(data) - 1):
+        assert list(warc.arc_records(gzip.compress(data[:cut]) + gzip.compress(data[cut:]))) == found
     made = [warc.warc_record(r) for r in found]
     (one, block), (two, _) = warc.warc_records(b"".join(r + b"\r\n\r\n" for r in made))
     assert one["WARC-Type"] == "response" and two["WARC-Type"] == "metadata" and block == records[0][4]
@@ -75,14 +77,42 @@ def test_arc_versions(version, spark, tmp_path):
     assert one["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(b"body\n2 3")
     assert one["WARC-Record-ID"] == next(warc.warc_records(warc.warc_record(found[0]) + b"\r\n\r\n"))[0]["WARC-Record-ID"]
     (tmp_path / "x.arc.gz").write_bytes(gzip.compress(data))
-    assert [bytes(r.record) for r in warc.convert_arc_files(spark, str(tmp_path)).collect()] == made
-    for bad in (data[:-3], data.replace(b"filedesc", b"filedisc"), b"no line"):
+    (content,) = [bytes(r.content) for r in warc.convert(spark, str(tmp_path)).collect()]
+    assert [(h["WARC-Type"], h["WARC-Target-URI"], b) for h, b in warc.warc_records(content)] == [("response", "http://a/%20b", records[0][4]), ("metadata", "dns:a", b"")]
+    for bad in (data[:-3], data.replace(b"filedesc", b"filedisc"), b"no line", gzip.compress(data)[:-9]):
         with pytest.raises(ValueError):
             list(warc.arc_records(bad))
 
 
-def test_revisit_records(spark):
-    path = warc.write_archives(warc.converted(pages(spark)))
-    again = warc.revisit_records(warc.revisits(warc.read_archives(spark, path)))
-    heads = [next(warc.warc_records(bytes(r.record) + b"\r\n\r\n"))[0] for r in again.collect()]
-    assert heads and all(h["WARC-Type"] == "revisit" for h in heads)
+def test_files_on_disk(spark, tmp_path):
+    """Each record is a gzip member, files hold a bounded number of bytes, revisits have standard fields and no payload."""
+    table = pages(spark).where("page_id IS NOT NULL").withColumn("when", F.format_string("2001%02d01000000", F.col("page_id") + 1)).coalesce(1)
+    path = warc.archived(table, date_column="when", file_bytes=1000)
+    files = sorted(f for f in pathlib.Path(path).iterdir() if f.name.startswith("part-"))
+    assert len(files) > 3
+    heads, responses = [], {}
+    for f in files:
+        data = f.read_bytes()
+        assert gzip.decompress(data)
+        parts = [p for p in warc._parts(data) if p]
+        assert len(parts) == 1 or sum(map(len, parts)) <= 1000
+        for part in parts:
+            ((head, block),) = warc.warc_records(part)
+            heads.append((head, block))
+            if head["WARC-Type"] == "response":
+                responses["<" + head["WARC-Record-ID"].strip("<>") + ">"] = head
+    assert len(heads) == table.count() and len({h["WARC-Record-ID"] for h, _ in heads}) == len(heads)
+    assert len({h["WARC-Date"] for h, _ in heads}) > 5
+    again = [(h, b) for h, b in heads if h["WARC-Type"] == "revisit"]
+    assert again
+    for head, block in again:
+        lead = responses[head["WARC-Refers-To"]]
+        assert warc.payload_of(block) == b"" and head["WARC-Payload-Digest"] == lead["WARC-Payload-Digest"] and head["WARC-Profile"] == warc.PROFILE
+        assert (head["WARC-Refers-To-Target-URI"], head["WARC-Refers-To-Date"]) == (lead["WARC-Target-URI"], lead["WARC-Date"])
+
+
+def test_a_page_of_100_mb(spark):
+    body = "0123456789" * 10_000_000
+    table = spark.createDataFrame([(1, "u", "small")], "page_id long, url string, html string").withColumn("html", F.repeat(F.lit("0123456789"), 10_000_000))
+    (row,) = warc.resolved(warc.read_archives(spark, warc.archived(table))).collect()
+    assert row.payload_bytes == len(body) and row.payload_digest == warc.sha1_base32(body.encode())
