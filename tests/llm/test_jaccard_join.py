@@ -92,3 +92,32 @@ def test_pruning_keeps_similar_pairs():
     assert np.mean(kept) > 0.9995
     low = [all(matches[:n].sum() >= m for n, m in least.items()) for matches in draw.random((20000, jaccard_join.HASHES)) < 0.3]
     assert np.mean(low) < 0.01
+
+
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """Texts whose words all differ but have equal hashes aren't similar."""
+    def twin(n, odd):
+        return "".join("ab"[(bin(k).count("1") + odd) % 2] for k in range(n))
+
+    rest = [f"word{k}" for k in range(30)]
+    docs = [(k, " ".join([*rest[:15], *[twin(1024, k % 2) + "c" * j for j in range(15)]])) for k in range(4)]
+    check(jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+
+
+def test_numbers_of_words_and_shingles():
+    from verdigrain.llm import textvec
+
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abc") * draw.randint(1, 3) for _ in range(draw.randrange(30))) for _ in range(20)]
+    data = np.frombuffer(" ".join(texts).encode() + b" ", np.uint8)
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    starts, ends, first = textvec.words(data, offsets)
+    # hashes that many words share
+    numbers = textvec.Words().numbers(data, starts, ends, (ends - starts).astype(np.uint64))
+    spelled = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert len({*zip(numbers.tolist(), spelled, strict=True)}) == len(set(spelled)) == len(set(numbers.tolist()))
+    for width in (1, 2, 3, 5, 8):
+        runs, edges = textvec.numbered_shingles(numbers, first, width)
+        plain = [tuple(spelled[i : i + width]) for k in range(len(texts)) for i in range(first[k], first[k + 1] - width + 1)]
+        assert len(runs) == len(plain) == edges[-1]
+        assert len({*zip(runs.tolist(), plain, strict=True)}) == len(set(plain)) == len(set(runs.tolist()))

@@ -8,7 +8,8 @@
    holds an unbounded bucket. In a group, a pair counts only in the first band that both share.
    Values are compared step by step; a pair is dropped when the posterior probability that its
    similarity reaches the threshold, under a uniform prior, is below `tolerance`. All others are
-   verified exactly on their sets of shingles (by blocked matrix products where pairs are many).
+   verified exactly on their sets of shingles, which are numbered by the words themselves and not by
+   hashes (by blocked matrix products where pairs are many).
 4. A group tells, for each node, how many rows it is linked with there and one edge of a spanning
    forest; pairs themselves are never rows. Connected classes come from alternating large-star and
    small-star steps on those edges, stored after each step.
@@ -89,10 +90,6 @@ def keys(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, first: np.ndarr
     return found
 
 
-def node_of(key: bytes) -> int:
-    return int.from_bytes(key[:8], "big") >> 1
-
-
 @lru_cache(8)
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """By number of values compared, the fewest matches that a pair must have to go on.
@@ -179,32 +176,39 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarra
 
 
 def _groups(width: int, threshold: float, tolerance: float):
-    """A function over sorted rows of (bucket, i, j, block, node, copies, text): node, root and links of each linked node."""
+    """A function over sorted rows of (bucket, i, j, block, node, key, copies, text): node, root and links of each linked node."""
     names = ["node", "root", "links"]
 
     def told(key: tuple[int, int, int], rows: list[tuple]) -> pa.RecordBatch | None:
         seen: dict[int, tuple] = {}
-        texts = pa.array([r[3] for r in rows], pa.string())
+        texts = pa.array([r[4] for r in rows], pa.string())
         data, offsets = buffers(texts)
+        words = textvec.Words()
         for begin, end in slices(offsets):
             own, at = data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
             low = textvec.lowered(own)
             starts, ends, first = textvec.words(low, at)
-            values, edges = shingle_values(textvec.span_hashes(low, starts, ends), first, width)
+            hashes = textvec.span_hashes(low, starts, ends)
+            numbers = words.numbers(low, starts, ends, hashes)
+            values, edges = shingle_values(hashes, first, width)
             for k, digest in enumerate(keys(own, at, low, first)):
-                block, node, copies = rows[begin + k][:3]
+                block, node, wanted, copies = rows[begin + k][:4]
                 # ids needn't be unique: only the text that the node stands for counts
-                if node_of(digest) == node and node not in seen and edges[k] < edges[k + 1]:
-                    seen[node] = (block, copies, values[edges[k] : edges[k + 1]])
+                if digest == wanted and node not in seen and edges[k] < edges[k + 1]:
+                    seen[node] = (block, copies, values[edges[k] : edges[k + 1]], numbers[first[k] : first[k + 1]])
         if len(seen) < 2:
             return None
         nodes = np.array(sorted(seen), np.int64)
         parts = [seen[n][2] for n in nodes.tolist()]
+        # sets of shingles by the words themselves
+        spelled = [seen[n][3] for n in nodes.tolist()]
+        runs, cuts = textvec.numbered_shingles(np.concatenate(spelled), np.concatenate([[0], np.cumsum([len(w) for w in spelled])]), width)
+        sets = [np.unique(runs[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         signature = signatures(np.concatenate(parts), edges)
         block = np.array([seen[n][0] for n in nodes.tolist()])
         copies = np.array([seen[n][1] for n in nodes.tolist()], np.int64)
-        x, y = linked([np.unique(p) for p in parts], signature, block, key[1:], key[0] >> _BAND_SHIFT, threshold, tolerance)
+        x, y = linked(sets, signature, block, key[1:], key[0] >> _BAND_SHIFT, threshold, tolerance)
         if not len(x):
             return None
         links = np.zeros(len(nodes), np.int64)
@@ -231,7 +235,7 @@ def _groups(width: int, threshold: float, tolerance: float):
 
 
 def keyed(df: DataFrame, *, id_column: str, text_column: str, width: int) -> DataFrame:
-    """id, key, node, words and band values (null where there are no shingles) of every row."""
+    """id, key, words and band values (null where there are no shingles) of every row."""
     on_workers(df.sparkSession)
     id_type = dict(df.dtypes)[id_column]
 
@@ -255,9 +259,9 @@ def keyed(df: DataFrame, *, id_column: str, text_column: str, width: int) -> Dat
                     for k, value in zip(some.tolist(), each, strict=True):
                         rows[k] = value
                 bands += rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([node_of(k) for k in found], pa.int64()), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "node", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "words", "bands"])
 
-    return df.select(id_column, text_column).mapInArrow(made, f"id {id_type}, key binary, node bigint, words bigint, bands array<bigint>")
+    return df.select(id_column, text_column).mapInArrow(made, f"id {id_type}, key binary, words bigint, bands array<bigint>")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -318,28 +322,34 @@ def with_key(df: DataFrame, *, text_column: str = "text", name: str = "__join_ke
 
 def _solved(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(id, key) of every row; key, node, rep, copies, links, class_id, stays of every node."""
+    held: list[str] = []
     rows = stored(keyed(df, id_column=id_column, text_column=text_column, width=width), "join-keys")
-    nodes = stored(rows.groupBy("key", "node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands")), "join-nodes")
+    # stored: a node's number is made once, and no two nodes have the same
+    each = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands"))
+    nodes = stored(each.withColumn("node", F.monotonically_increasing_id()), "join-nodes", held)
     band_rows = nodes.where("bands IS NOT NULL").select("node", "words", F.explode("bands").alias("bucket"))
     buckets = band_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     # the band's number leads a bucket's value, so that the first of equal buckets is the smallest
-    once = stored(buckets.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks")), "join-buckets")
+    once = stored(buckets.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks")), "join-buckets", held)
     met = band_rows.select("bucket", "node").join(once, "bucket")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     places = met.select("node", "bucket", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("node", F.struct("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").alias("place"))
     # a node is in at most one bucket for each band, in as many places as that bucket has blocks
-    wanted = places.groupBy("node").agg(F.collect_list("place").alias("places")).join(nodes.select("node", "rep", "copies"), "node")
+    wanted = places.groupBy("node").agg(F.collect_list("place").alias("places")).join(nodes.select("node", "key", "rep", "copies"), "node")
     texts = df.select(F.col(id_column).alias("rep"), F.col(text_column).alias("text"))
-    sent = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select(F.explode("places").alias("p"), "node", "copies", "text").select("p.bucket", "p.i", "p.j", "p.block", "node", "copies", "text")
+    sent = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select(F.explode("places").alias("p"), "node", "key", "copies", "text").select("p.bucket", "p.i", "p.j", "p.block", "node", "key", "copies", "text")
     grouped = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = stored(grouped.mapInArrow(_groups(width, threshold, tolerance), "node bigint, root bigint, links bigint"), "join-links")
+    found = stored(grouped.mapInArrow(_groups(width, threshold, tolerance), "node bigint, root bigint, links bigint"), "join-links", held)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     label = classes(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = stored(nodes.join(links, "node", "left").join(label, "node", "left").select("key", "node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")), "join-named")
+    named = stored(nodes.join(links, "node", "left").join(label, "node", "left").select("key", "node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")), "join-named", held)
     # the node with the smallest id leads its class
-    first = stored(named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "node")).alias("lead")).select("label", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead")), "join-classes")
+    first = stored(named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "node")).alias("lead")).select("label", F.col("lead.rep").alias("class_id"), F.col("lead.node").alias("lead")), "join-classes", held)
     result = named.join(first, "label").select("key", "node", "rep", "copies", "links", "class_id", (F.col("node") == F.col("lead")).alias("stays"))
-    return rows.select("id", "key"), stored(result, "join-results")
+    found = stored(result, "join-results")
+    # the rows and the results are what is left to read
+    dropped_tables(df.sparkSession, held)
+    return rows.select("id", "key"), found
 
 
 def join(df: DataFrame, *, id_column: str = "doc_id", **parameters) -> DataFrame:

@@ -77,3 +77,54 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         value = value * np.uint64(0x2545F4914F6CDD1D) + hashes[k : k + len(value)]
     return np.unique(mixed(value))
+
+
+def same_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two arrays are equal, pair by pair; no span is empty."""
+    if not len(size):
+        return np.zeros(0, bool)
+    stop = np.cumsum(size)
+    inner = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
+    differ = a[np.repeat(a_at, size) + inner] != b[np.repeat(b_at, size) + inner]
+    return ~np.logical_or.reduceat(differ, stop - size)
+
+
+class Words:
+    """Numbers for words by their bytes: equal numbers are equal words, whatever their hashes."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word; words are compared in bulk with the first of their hash."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        whole, size = data.tobytes(), ends - starts
+        number = lambda k: self.known.setdefault(whole[starts[k] : ends[k]], len(self.known))
+        found = np.fromiter(map(number, one.tolist()), np.int64, len(one))[which]
+        same = size == size[one][which]
+        same[same] = same_spans(data, starts[same], data, starts[one][which[same]], size[same])
+        for k in np.flatnonzero(~same).tolist():
+            found[k] = number(k)
+        return found
+
+
+def numbered_shingles(numbers: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs of `width` words at every word of texts, equal for equal runs only, and where each text's begin.
+
+    Pairs of numbers are numbered anew, then pairs of those, so that no product overflows.
+    """
+    counts = np.maximum(np.diff(first) - width + 1, 0)
+    stops = np.cumsum(counts)
+    at = np.repeat(first[:-1] - (stops - counts), counts) + np.arange(int(stops[-1]) if len(stops) else 0)
+    edges = np.concatenate([[0], stops])
+    if not len(at):
+        return np.zeros(0, np.int64), edges
+    value, long = numbers, 1
+    while long < width:
+        step = min(long, width - long)
+        n = len(value) - step
+        value = np.unique(value[:n] * (int(value.max()) + 1) + value[step : step + n], return_inverse=True)[1]
+        long += step
+    return value[at], edges

@@ -79,16 +79,6 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 LONGEST = 64
 
 
-def _same(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether spans of two arrays are equal, pair by pair; no span is empty."""
-    if not len(size):
-        return np.zeros(0, bool)
-    stop = np.cumsum(size)
-    inner = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
-    differ = a[np.repeat(a_at, size) + inner] != b[np.repeat(b_at, size) + inner]
-    return ~np.logical_or.reduceat(differ, stop - size)
-
-
 class _Pool:
     """A growing array to which spans are added."""
 
@@ -181,7 +171,7 @@ class WordCachedTokenizer:
         # a word is the cached one only if its characters are the same
         place = self.places[known[which]]
         same = size[rows] == place[:, 1]
-        same[same] = _same(points, starts[rows[same]], self.chars.data, place[same, 0], size[rows[same]])
+        same[same] = textvec.same_spans(points, starts[rows[same]], self.chars.data, place[same, 0], size[rows[same]])
         alone[rows[~same]] = True
         counts = np.zeros(len(starts), np.int64)
         counts[rows[same]] = place[same, 3]
