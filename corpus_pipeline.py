@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet in the shared
 folder and read again as the next stage's docs. All but the last return the columns of documents.
+
+Null and empty texts, and those without a letter, go in the first stage. Of rows with equal texts that
+with the largest id stays, of each class of near copies that with the smallest; rows that repeat id and
+text are one. The mix may repeat a row, or cut its text. Texts of any length are taken whole, an empty
+table gives an empty result, and extra columns are kept by all stages but the last.
 """
 
 from __future__ import annotations
