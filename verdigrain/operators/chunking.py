@@ -284,12 +284,15 @@ def recursive_chunks(documents: DataFrame, *, size: int = 500, overlap: int = 0,
     original = part(F.col("text"), F.col("_span"))
     rows = rows.select("document_id", "chunk_index", original.alias("original_text"), F.col("_span.start").alias("start_position"), F.col("_span.end").alias("end_position"))
     digest = F.substring(F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "chunk_index", "start_position", "end_position", "original_text").cast("binary"), 256), 1, 16)
-    number = F.lpad(F.col("chunk_index").cast("string"), 5, "0")
+    number = F.format_string("%05d", "chunk_index")
     return rows.select(F.concat_ws("-", F.col("document_id").cast("string"), F.lit("rcts"), number, digest).alias("chunk_id"), *rows.columns)
 
 
 def parent_child_chunks(sources: DataFrame, *, parent: tuple[int, int] = (500, 100), child: tuple[int, int] = (150, 30), structure_aware: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Parents over documents (document_id, text) or sections, and children inside each parent."""
+    """Parents over documents (document_id, text) or sections, and children inside each parent.
+
+    Numbers come from counts of words: documents aren't shuffled, sections once, to add up those before.
+    """
     if parent[0] < child[0] or parent[1] < child[1]:
         raise ValueError("parents must be at least as long and overlap at least as much as children")
     strategy = "hierarchical_structure_aware" if structure_aware else "hierarchical"
@@ -303,16 +306,26 @@ def parent_child_chunks(sources: DataFrame, *, parent: tuple[int, int] = (500, 1
         digest = tx.short_hash([F.lit(strategy), F.lit(level), F.col("document_id"), index, start, end, owner])
         return F.concat_ws("-", F.col("document_id").cast("string"), F.lit(strategy), F.lit(level), digest)
 
+    count = lambda n, size, overlap: F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / (size - overlap)) + 1).cast("bigint")
+    # all parents of a source but the last are full, and have as many children each
+    full = 1 + max(0, math.ceil((parent[0] - child[0]) / (child[0] - child[1])))
+    if structure_aware:
+        n = tx.word_count(F.col("text"))
+        own = count(n, *parent)
+        last = count(n - (own - 1) * (parent[0] - parent[1]), *child)
+        before = Window.partitionBy("document_id").orderBy("_base").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")
+        rows = rows.withColumns({"_parents": earlier(own), "_children": earlier(F.when(own > 0, (own - 1) * full + last).otherwise(0))})
+    else:
+        rows = rows.withColumns({"_parents": F.lit(0).cast("bigint"), "_children": F.lit(0).cast("bigint")})
     rows = rows.select("*", F.posexplode(word_windows(F.col("text"), *parent)).alias("_number", "_span"))
-    order = Window.partitionBy("document_id").orderBy("_base", "_number")
-    rows = rows.select("document_id", (F.row_number().over(order) - 1).alias("parent_index"), part(F.col("text"), F.col("_span")).alias("text"), (F.col("_base") + F.col("_span.start")).alias("start_position"), (F.col("_base") + F.col("_span.end")).alias("end_position"), "section_label", "section_heading")
-    parents = rows.select(name("parent", F.col("parent_index"), F.col("start_position"), F.col("end_position"), F.lit("")).alias("parent_id"), "document_id", "parent_index", F.lit(strategy).alias("strategy"), "text", "start_position", "end_position", "section_label", "section_heading")
-    inner = parents.select("*", F.posexplode(word_windows(F.col("text"), *child)).alias("_number", "_span"))
-    order = Window.partitionBy("document_id").orderBy("parent_index", "_number")
+    rows = rows.select("document_id", (F.col("_parents") + F.col("_number")).alias("parent_index"), (F.col("_children") + F.col("_number") * full).alias("_first"), part(F.col("text"), F.col("_span")).alias("text"), (F.col("_base") + F.col("_span.start")).alias("start_position"), (F.col("_base") + F.col("_span.end")).alias("end_position"), "section_label", "section_heading")
+    named = rows.select(name("parent", F.col("parent_index"), F.col("start_position"), F.col("end_position"), F.lit("")).alias("parent_id"), "document_id", "parent_index", "_first", F.lit(strategy).alias("strategy"), "text", "start_position", "end_position", "section_label", "section_heading")
+    inner = named.select("*", F.posexplode(word_windows(F.col("text"), *child)).alias("_number", "_span"))
     start, end = F.col("start_position") + F.col("_span.start"), F.col("start_position") + F.col("_span.end")
-    inner = inner.select("document_id", (F.row_number().over(order) - 1).alias("chunk_index"), "strategy", part(F.col("text"), F.col("_span")).alias("text"), start.alias("_start"), end.alias("_end"), "parent_id", F.col("start_position").alias("parent_start_position"), F.col("end_position").alias("parent_end_position"), "section_label", "section_heading")
+    inner = inner.select("document_id", (F.col("_first") + F.col("_number")).alias("chunk_index"), "strategy", part(F.col("text"), F.col("_span")).alias("text"), start.alias("_start"), end.alias("_end"), "parent_id", F.col("start_position").alias("parent_start_position"), F.col("end_position").alias("parent_end_position"), "section_label", "section_heading")
     children = inner.select(name("child", F.col("chunk_index"), F.col("_start"), F.col("_end"), F.col("parent_id")).alias("chunk_id"), "document_id", "chunk_index", "strategy", "text", F.col("_start").alias("start_position"), F.col("_end").alias("end_position"), "parent_id", "parent_start_position", "parent_end_position", "section_label", "section_heading")
-    return parents, children
+    return named.drop("_first"), children
 
 
 def misplaced_sections(documents: DataFrame, sections: DataFrame) -> DataFrame:

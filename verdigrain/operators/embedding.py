@@ -30,12 +30,18 @@ def text_to_embed() -> Column:
     return F.coalesce(F.when(F.col("embedding_text") != "", F.col("embedding_text")), F.col("text"))
 
 
-def hashed_vectors(df: DataFrame, text: Column, *, dimension: int = 256, out: str = "embedding") -> DataFrame:
-    """Feature hashing in the JVM: each token adds plus or minus one to a place; null where a text has no token."""
-    signed = F.transform(tx.tokens(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimension)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w")))
-    place = lambda found, i: F.aggregate(F.filter(found, lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["w"])
-    vector = let(signed, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: place(found, i)))
-    return df.withColumn(out, let(vector, normalized))
+def hashed_vectors(df: DataFrame, keys: list[str], text: Column, *, dimension: int = 256, out: str = "embedding") -> DataFrame:
+    """keys and a vector of norm 1 by feature hashing: each token adds plus or minus one to a place.
+
+    Tokens are summed by place, so at most `dimension` rows of a text are shuffled. Texts without a token,
+    or whose tokens cancel out, have no row.
+    """
+    digits = lambda first: F.conv(F.substring(F.md5(F.col("_t").cast("binary")), first, 8), 16, 10).cast("bigint")
+    each = df.select(*keys, F.explode(tx.tokens(text)).alias("_t")).select(*keys, (digits(1) % dimension).cast("int").alias("_at"), F.when(digits(9) % 2 == 0, 1.0).otherwise(-1.0).alias("_w"))
+    places = each.groupBy(*keys, "_at").agg(F.sum("_w").alias("_w"))
+    by = places.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_p"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("_p", i), F.lit(0.0)))
+    return by.select(*keys, normalized(vector).alias(out)).where(F.col(out).isNotNull())
 
 
 def embedded(df: DataFrame, load: Callable[[], Embedder], text: Column, *, queries: bool = False, prefix: str = "", out: str = "embedding") -> DataFrame:
@@ -136,3 +142,51 @@ def index_differences(whole: DataFrame, parts: DataFrame) -> DataFrame:
     """chunk_id of chunks that only one side has, or whose text differs."""
     a, b = whole.select("chunk_id", F.col("text").alias("_a")), parts.select("chunk_id", F.col("text").alias("_b"))
     return a.join(b, "chunk_id", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("chunk_id")
+
+
+def checkpointed(items: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], *, dimension: int, batches: int = 16) -> DataFrame:
+    """chunk_id and embedding of all items (chunk_id, text), made in batches that are each appended to a table.
+
+    After a failure only items that the table lacks are encoded. Vectors of another size, or with values
+    that aren't finite, are an error before their batch is written.
+    """
+    spark = items.sparkSession
+    schema = f"chunk_id {dict(items.dtypes)['chunk_id']}, embedding array<double>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    numbered_items = items.withColumn("_batch", F.pmod(F.xxhash64("chunk_id"), F.lit(batches)))
+    done = lambda: spark.read.schema(schema).parquet(path)
+    for k in range(batches):
+        todo = numbered_items.where(F.col("_batch") == k).drop("_batch").join(done().select("chunk_id"), "chunk_id", "left_anti")
+        vector = F.col("embedding").cast("array<double>")
+        good = (F.size(vector) == dimension) & F.forall(vector, lambda x: F.abs(x) < F.lit(float("inf")))
+        checked = F.when(F.coalesce(good, F.lit(False)), vector).otherwise(F.raise_error(F.concat(F.lit("bad vector of "), F.col("chunk_id").cast("string"))))
+        made = encode(todo).select("chunk_id", checked.alias("embedding"))
+        if not made.isEmpty():
+            made.write.mode("append").parquet(path)
+    return done()
+
+
+def contextual_embeddings(documents: DataFrame, chunks: DataFrame, tokens: DataFrame, encode: Callable[[DataFrame], DataFrame], *, capacity: int = 512, overlap: int = 128) -> DataFrame:
+    """chunk_id and embedding by late chunking: windows of a document's tokens are encoded, and each chunk is the mean of its tokens in its best window.
+
+    documents: document_id, text; chunks: chunk_id, document_id, start_position, end_position, text; tokens:
+    document_id, token, start, end. encode maps windows (document_id, window_start, window_end) to token
+    vectors (document_id, window_start, token, vector). Chunks whose offsets don't fit their document's
+    text are in offset_violations; those without a token, or longer than a window, have no row.
+    """
+    spans = token_spans(chunks.select("document_id", F.col("chunk_id").alias("span_id"), F.col("start_position").alias("start"), F.col("end_position").alias("end")), tokens).where("start IS NOT NULL")
+    sizes = tokens.groupBy("document_id").agg((F.max("token") + 1).alias("tokens"))
+    windows = context_windows(sizes, spans, capacity=capacity, overlap=overlap)
+    chosen = window_of_span(spans, windows)
+    vectors = encode(windows.select("document_id", F.col("start").alias("window_start"), F.col("end").alias("window_end")))
+    wanted = spans.join(chosen.select("document_id", "span_id", "window_start"), ["document_id", "span_id"])
+    # a document and window are one key, so that pooling meets only the window's own vectors
+    key = F.concat_ws("|", F.col("document_id").cast("string"), F.col("window_start").cast("string"))
+    return pooled(vectors.withColumn("document_id", key), wanted.withColumn("document_id", key)).select(F.col("span_id").alias("chunk_id"), "embedding")
+
+
+def offset_violations(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks whose text isn't what their document has at their offsets."""
+    met = chunks.join(documents.select("document_id", F.col("text").alias("_doc")), "document_id", "left")
+    own = F.substring("_doc", (F.col("start_position") + 1).cast("int"), (F.col("end_position") - F.col("start_position")).cast("int"))
+    return met.where(~own.eqNullSafe(F.col("text"))).select("chunk_id")

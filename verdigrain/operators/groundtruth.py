@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
-from verdigrain.operators.retrieval import small
 
 # States of a question, and answers that are only a field's name.
 STATUSES = ("draft", "reviewed", "approved", "rejected")
@@ -26,7 +25,7 @@ def qrel_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     if "review_status" in questions.columns:
         questions = questions.where(F.lower(F.trim("review_status")) == "approved")
-    c, q = chunks.alias("c"), small(questions.select("query_id", "document_id", "evidence_start", "evidence_end")).alias("q")
+    c, q = chunks.alias("c"), questions.select("query_id", "document_id", "evidence_start", "evidence_end").alias("q")
     shared = F.least("c.end_position", "q.evidence_end") - F.greatest("c.start_position", "q.evidence_start")
     whole = (F.col("c.start_position") <= F.col("q.evidence_start")) & (F.col("q.evidence_end") <= F.col("c.end_position"))
     grade = F.when(whole, 2).otherwise(1)

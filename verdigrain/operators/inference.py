@@ -12,7 +12,6 @@ import statistics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigrain.operators.retrieval import small
 
 TOLERANCE = 1e-12
 
@@ -47,16 +46,16 @@ def unpaired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "query_id", "left_anti").unionByName(b.join(a, "query_id", "left_anti"))
 
 
-def outcomes(pairs: DataFrame, lower_is_better: tuple[str, ...] = ("drm", "drm_returned")) -> DataFrame:
-    """metric, k, means, difference, relative difference (null if the baseline's mean is 0), wins, ties, losses."""
+def outcomes(pairs: DataFrame, lower_is_better: tuple[str, ...] = ("drm", "drm_returned"), keys: tuple[str, ...] = ("metric", "k")) -> DataFrame:
+    """keys, means, difference, relative difference (null if the baseline's mean is 0), wins, ties, losses."""
     way = F.when(F.col("metric").isin(*lower_is_better), -F.col("difference")).otherwise(F.col("difference"))
-    by = pairs.withColumn("_d", way).groupBy("metric", "k").agg(F.count(F.lit(1)).alias("queries"), F.avg("baseline").alias("baseline_mean"), F.avg("candidate").alias("candidate_mean"), F.avg("difference").alias("difference"), F.count_if(F.col("_d") > TOLERANCE).alias("wins"), F.count_if(F.abs("_d") <= TOLERANCE).alias("ties"), F.count_if(F.col("_d") < -TOLERANCE).alias("losses"))
+    by = pairs.withColumn("_d", way).groupBy(*keys).agg(F.count(F.lit(1)).alias("queries"), F.avg("baseline").alias("baseline_mean"), F.avg("candidate").alias("candidate_mean"), F.avg("difference").alias("difference"), F.count_if(F.col("_d") > TOLERANCE).alias("wins"), F.count_if(F.abs("_d") <= TOLERANCE).alias("ties"), F.count_if(F.col("_d") < -TOLERANCE).alias("losses"))
     return by.withColumn("relative_difference", F.when(F.col("baseline_mean") != 0, F.col("difference") / F.abs("baseline_mean")))
 
 
 def clustered(values: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
     """keys, place (clusters in order of their id, from 0), s (sum), n (count), clusters (how many): values has query_id and difference."""
-    sums = values.join(small(clusters), "query_id").groupBy(*keys, "cluster").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = values.join(clusters, "query_id").groupBy(*keys, "cluster").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*keys).orderBy("cluster")
     whole = Window.partitionBy(*keys)
     return sums.select(*keys, "cluster", (F.row_number().over(order) - 1).cast("bigint").alias("place"), F.count(F.lit(1)).over(whole).alias("clusters"), "s", "n")
@@ -71,17 +70,63 @@ def cluster_bootstrap(sums: DataFrame, keys: list[str], *, samples: int = 2000,
     sized = table.select(*keys, "clusters").distinct()
     draws = sized.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("clusters") - 1)))
     draws = draws.withColumn("place", F.pmod(draw(seed, F.col("replicate"), F.col("i")), F.col("clusters"))).drop("clusters", "i")
-    means = draws.join(small(table.drop("clusters")), [*keys, "place"]).groupBy(*keys, "replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
+    means = draws.join(table.drop("clusters"), [*keys, "place"]).groupBy(*keys, "replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high"))
 
 
+def iid_bootstrap(values: DataFrame, keys: list[str], **parameters) -> DataFrame:
+    """keys, ci_low, ci_high: single queries drawn with replacement. values has query_id and difference."""
+    alone = values.select("query_id", F.col("query_id").alias("cluster")).distinct()
+    return cluster_bootstrap(clustered(values, alone, keys), keys, **parameters)
+
+
+def weight_bootstrap(values: DataFrame, keys: list[str], *, samples: int = 2000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """keys, ci_low, ci_high: how often each query is drawn is one weight in each replicate, the same for all keys.
+
+    One table of weights serves all metrics: it is joined by query, and means are weighted sums.
+    """
+    queries = values.select("query_id").distinct()
+    places = queries.withColumn("place", F.row_number().over(Window.orderBy("query_id")) - 1)
+    sized = queries.agg(F.count(F.lit(1)).alias("n"))
+    draws = sized.select("n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("replicate")).select("n", "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    weights = draws.groupBy("replicate", F.pmod(draw(seed, F.col("replicate"), F.col("i")), F.col("n")).alias("place")).agg(F.count(F.lit(1)).alias("w"))
+    met = weights.join(places, "place").join(values.select(*keys, "query_id", "difference"), "query_id")
+    means = met.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("difference")) / F.sum("w")).alias("m"))
+    return means.groupBy(*keys).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high"))
+
+
+def paired_arms(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """baseline_arm, candidate_arm, query_id, metric, k, baseline, candidate, difference: scores has arm, pairs the names of two arms each."""
+    b = scores.select(F.col("arm").alias("baseline_arm"), "query_id", "metric", "k", F.col("value").alias("baseline"))
+    c = scores.select(F.col("arm").alias("candidate_arm"), "query_id", "metric", "k", F.col("value").alias("candidate"))
+    met = pairs.select("baseline_arm", "candidate_arm").join(b, "baseline_arm").join(c, ["candidate_arm", "query_id", "metric", "k"])
+    return met.withColumn("difference", F.col("candidate") - F.col("baseline"))
+
+
+def all_pairs(arms: DataFrame) -> DataFrame:
+    """Every two arms once, in the order of their names."""
+    a = arms.select("arm").distinct()
+    return a.select(F.col("arm").alias("baseline_arm")).join(a.select(F.col("arm").alias("candidate_arm")), F.col("baseline_arm") < F.col("candidate_arm"))
+
+
+def comparison_table(scores: DataFrame, pairs: DataFrame, clusters: DataFrame, *, strata: DataFrame | None = None, bootstrap: int = 2000, permutations: int = 10_000) -> DataFrame:
+    """For each pair of arms [, stratum], metric and k: means, differences, wins, confidence interval by clusters, and p by sign flips."""
+    rows = paired_arms(scores, pairs)
+    keys = ["baseline_arm", "candidate_arm", "metric", "k"]
+    if strata is not None:
+        rows, keys = rows.join(strata, "query_id"), [*keys, "stratum"]
+    sums = clustered(rows, clusters, keys)
+    out = outcomes(rows, keys=tuple(keys)).join(cluster_bootstrap(sums, keys, samples=bootstrap), keys)
+    return out.join(sign_flip(sums, keys, samples=permutations).select(*keys, "p_value"), keys)
+
+
 def sign_flip(sums: DataFrame, keys: list[str], *, samples: int = 10_000, seed: int = 42, digits: int = 12) -> DataFrame:
     """keys, observed, p_value = (extreme + 1) / (samples + 1) when clusters' signs are drawn."""
     total = sums.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
     flips = sums.select(*keys, "place", "s", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("replicate"))
     signed = F.when(draw(seed, F.col("replicate"), F.col("place")) % 2 == 0, F.col("s")).otherwise(-F.col("s"))
     by = flips.groupBy(*keys, "replicate").agg(F.sum(signed).alias("p"))
-    met = by.join(small(total), keys)
+    met = by.join(total, keys)
     extreme = F.round(F.abs(F.col("p") / F.col("_n")), digits) >= F.round(F.abs(F.col("_s") / F.col("_n")), digits)
     return met.groupBy(*keys).agg((F.max("_s") / F.max("_n")).alias("observed"), ((F.count_if(extreme) + 1) / (F.lit(samples) + 1)).alias("p_value"))
 

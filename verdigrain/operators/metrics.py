@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigrain.operators.retrieval import small
 
 KS = (1, 3, 5, 10)
 
@@ -88,7 +87,7 @@ def summarized(metrics: DataFrame, strata: DataFrame) -> DataFrame:
 
     One aggregation with grouping sets gives the first two.
     """
-    met = metrics.join(small(strata), "query_id")
+    met = metrics.join(strata, "query_id")
     sets = met.groupingSets([["metric", "k"], ["metric", "k", "stratum"]], "metric", "k", "stratum").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("queries"), F.grouping("stratum").alias("_g"))
     two = sets.select(F.when(F.col("_g") == 1, "micro").otherwise("stratum").alias("level"), "metric", "k", "stratum", "value", "queries")
     macro = two.where("level = 'stratum'").groupBy("metric", "k").agg(F.avg("value").alias("value"), F.sum("queries").alias("queries")).select(F.lit("macro").alias("level"), "metric", "k", F.lit(None).cast("string").alias("stratum"), "value", "queries")
@@ -138,7 +137,7 @@ def failure_classes(qrels: DataFrame, run: DataFrame, questions: DataFrame, chun
     first = first_relevant(qrels, run)
     gold = gold_documents(questions)
     top = run.where(F.col("rank") <= k).withColumn("document_id", F.col("document_id").cast("string")).join(gold, ["query_id", "document_id"], "left_semi").join(chunks.select("chunk_id", F.col("section_label").alias("_label")), "chunk_id", "left")
-    by = top.join(small(questions.select("query_id", "target_section_label")), "query_id").groupBy("query_id").agg(F.lit(True).alias("_document"), F.max(F.col("_label").eqNullSafe(F.col("target_section_label"))).alias("_section"))
+    by = top.join(questions.select("query_id", "target_section_label"), "query_id").groupBy("query_id").agg(F.lit(True).alias("_document"), F.max(F.col("_label").eqNullSafe(F.col("target_section_label"))).alias("_section"))
     base = F.when(F.col("_document").isNull(), "wrong_source_document").when(~F.col("_section"), "correct_document_wrong_section").otherwise("correct_document_and_section_wrong_passage")
     beyond = F.when(F.col("first_relevant_rank") > k, "+evidence_beyond_top_k").otherwise("")
     category = F.when(F.col("first_relevant_rank") <= k, "relevant_evidence_in_top_k").otherwise(F.concat(base, beyond))
@@ -149,7 +148,7 @@ def depth_classes(qrels: DataFrame, run: DataFrame, questions: DataFrame, chunks
     """query_id and class: success within k, wrong document, wrong section (by overlap of spans), found by depth, or not found."""
     first = first_relevant(qrels, run.where(F.col("rank") <= depth))
     gold = gold_documents(questions)
-    top = run.where(F.col("rank") <= k).withColumn("document_id", F.col("document_id").cast("string")).join(gold, ["query_id", "document_id"], "left_semi").join(chunks.select("chunk_id", "start_position", "end_position"), "chunk_id").join(small(questions.select("query_id", "target_section_label")), "query_id")
+    top = run.where(F.col("rank") <= k).withColumn("document_id", F.col("document_id").cast("string")).join(gold, ["query_id", "document_id"], "left_semi").join(chunks.select("chunk_id", "start_position", "end_position"), "chunk_id").join(questions.select("query_id", "target_section_label"), "query_id")
     t, s = top.alias("t"), sections.select(F.col("document_id").cast("string").alias("document_id"), "section_label", F.col("start_position").alias("s"), F.col("end_position").alias("e")).alias("s")
     inside = t.join(s, (F.col("t.document_id") == F.col("s.document_id")) & (F.col("t.target_section_label") == F.col("s.section_label")) & (F.col("s.s") < F.col("t.end_position")) & (F.col("t.start_position") < F.col("s.e")), "left_semi").select("query_id").distinct().withColumn("_section", F.lit(True))
     met = first.join(top.select("query_id").distinct().withColumn("_document", F.lit(True)), "query_id", "left").join(inside, "query_id", "left")
@@ -165,5 +164,11 @@ def context_delivery(included: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.select("query_id").join(held, "query_id", "left").join(sizes, "query_id", "left").select("query_id", F.coalesce("_held", F.lit(False)).alias("evidence_hit"), F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("units", F.lit(0)).alias("units"))
 
 
+def context_summary(delivery: DataFrame, strata: DataFrame) -> DataFrame:
+    """By stratum, and for all (null): questions, hit rate, mean and median words, mean units of delivered contexts."""
+    met = delivery.join(strata, "query_id")
+    return met.groupingSets([[], ["stratum"]], "stratum").agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("evidence_hit").cast("int")).alias("hit_rate"), F.avg("words").alias("mean_words"), F.percentile("words", F.lit(0.5)).alias("median_words"), F.avg("units").alias("mean_units"), F.grouping("stratum").cast("int").alias("level"))
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits)

@@ -33,18 +33,23 @@ def capped(df: DataFrame, group: str, key: str, per_group: int, total: int, *, s
     return ranked.where(F.col("_r") <= per_group).orderBy("_o", key).limit(total).drop("_o", "_r")
 
 
-def disjoint_split(df: DataFrame, group: str, target: int, *, seed: int = 42) -> DataFrame:
+def disjoint_split(df: DataFrame, group: str, target: int, *, seed: int = 42, exact: bool = False) -> DataFrame:
     """The groups of one side: in seeded order each group is added if the side then has at most `target` rows.
 
     Groups with their sizes are folded in one expression, as each step depends on all before; the table
-    of groups is an aggregate of the rows. Gives group and size; sizes sum to `target` or less.
+    of groups is an aggregate of the rows. Gives group and size; sizes sum to `target` or less, and with
+    `exact` a sum below it is an error when the result is read.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_o", seeded(seed, group))
     folded = sizes.agg(F.array_sort(F.collect_list(F.struct("_o", F.col(group).alias("g"), "size"))).alias("a"))
     kind = dict(folded.dtypes)["a"]
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast(kind).alias("taken"))
     step = lambda s, x: F.when(s["n"] + x["size"] <= target, F.struct((s["n"] + x["size"]).alias("n"), F.concat(s["taken"], F.array(x)).alias("taken"))).otherwise(s)
-    return folded.select(F.explode(F.aggregate("a", start, step)["taken"]).alias("t")).select(F.col("t.g").alias(group), F.col("t.size").alias("size"))
+    folded = folded.select(F.aggregate("a", start, step).alias("s"))
+    if exact:
+        short = F.raise_error(F.concat(F.lit(f"groups don't fill {target} rows, but "), F.col("s.n").cast("string"))).cast("boolean")
+        folded = folded.where(F.when(F.col("s.n") != target, short).otherwise(F.lit(True)))
+    return folded.select(F.explode("s.taken").alias("t")).select(F.col("t.g").alias(group), F.col("t.size").alias("size"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Retrieval over chunks: exact dense search, BM25, rank fusion, parents and context budgets.
 
-Queries are the side with a bounded number of rows; it is broadcast only after its rows are counted.
-Terms are cut down to those that queries have before anything is shuffled.
+No side is forced into a broadcast: Spark chooses by its size. Terms are cut down to those that queries
+have before anything is shuffled, and that one pass over the texts is stored for all that follows.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,16 +17,8 @@ from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
 from verdigrain.functions.arrays import let
-from verdigrain.session import on_workers
-
-#: Rows of a broadcast side, at most; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the table is known to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
+from verdigrain.operators.relational import numbered, seeded
+from verdigrain.session import on_workers, stored
 
 def normalized(vector: Column) -> Column:
     """A vector of doubles with norm 1; null if it is zero or not finite."""
@@ -39,22 +34,7 @@ def dot(a: Column, b: Column) -> Column:
 def bad_vectors(index: DataFrame, column: str = "embedding") -> DataFrame:
     """Rows whose vector can't be normalised, or whose dimension differs from the most common."""
     size = index.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
-    return index.crossJoin(F.broadcast(size)).where(normalized(F.col(column)).isNull() | (F.size(column) != F.col("n"))).drop("n")
-
-
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, on: str | None = None, digits: int = 9) -> DataFrame:
-    """query_id, chunk_id, rank, score: the k best by cosine, ties in the order of chunk_ord.
-
-    queries: query_id, vector [, on]; index: chunk_id, chunk_ord, vector [, on]. With `on`, a query
-    meets only rows that share it, by an equi-join before anything is scored. A window with a rank
-    limit keeps k rows for each query in every task before the shuffle.
-    """
-    q = queries.select("query_id", normalized(F.col("vector")).alias("_q"), *[[], [on]][on is not None])
-    d = index.select("chunk_id", "chunk_ord", normalized(F.col("vector")).alias("_d"), *[[], [on]][on is not None])
-    met = d.join(small(q), on) if on else d.crossJoin(small(q))
-    scored = met.select("query_id", "chunk_id", "chunk_ord", F.round(dot(F.col("_q"), F.col("_d")), digits).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+    return index.join(F.broadcast(size), F.lit(True)).where(normalized(F.col(column)).isNull() | (F.size(column) != F.col("n"))).drop("n")
 
 
 def _vectors_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,24 +60,38 @@ def _block_scores(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def dense_topk_blocks(queries: DataFrame, index: DataFrame, k: int, *, on: str | None = None, digits: int = 9, block: int = 2048) -> DataFrame:
-    """dense_topk for queries without a bound on their rows: blocks of about `block` queries meet blocks of the index.
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Rows by chunk_ord, which may be a struct: then by its fields."""
+    column = rows["chunk_ord"].combine_chunks()
+    parts = column.flatten() if pa.types.is_struct(column.type) else [column]
+    names = [str(k) for k in range(len(parts))]
+    if pa.types.is_struct(column.type):
+        # a struct's fields may be null in the result's schema
+        loose = pa.struct([pa.field(f.name, f.type) for f in column.type])
+        rows = rows.set_column(rows.schema.get_field_index("chunk_ord"), "chunk_ord", pa.StructArray.from_arrays(parts, fields=list(loose)))
+    return rows.take(pc.sort_indices(pa.table(dict(zip(names, parts, strict=True))), sort_keys=[(n, "ascending") for n in names]))
+
+
+def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, on: str | None = None, digits: int = 9, block: int = 2048) -> DataFrame:
+    """query_id, chunk_id, rank, score: the k best by cosine, ties in the order of chunk_ord.
 
-    Each pair of blocks is scored in one Arrow function, which keeps k rows for each query. With `on`,
-    both sides are cut into blocks within its values, so a frequent value is many pairs.
+    queries: query_id, vector [, on]; index: chunk_id, chunk_ord, vector [, on]. Blocks of about `block`
+    queries meet blocks of the index; each pair is scored in one Arrow function, which keeps k rows for
+    each query. With `on`, a query meets only rows that share it, and both sides are cut into blocks
+    within its values, so a frequent value is many pairs. Vectors that can't be normalised score null.
     """
     on_workers(index.sparkSession)
     same = F.col(on) if on else F.lit(0)
     q = queries.select("query_id", same.alias("_on"), normalized(F.col("vector")).alias("_q"))
     d = index.select("chunk_id", "chunk_ord", same.alias("_on"), normalized(F.col("vector")).alias("_d"))
     blocks = lambda df, name: df.groupBy("_on").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
-    sizes = small(blocks(q, "_nq").join(blocks(d, "_nd"), "_on"))
+    sizes = blocks(q, "_nq").join(blocks(d, "_nd"), "_on")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     left = q.join(sizes, "_on").select("_on", F.pmod(F.xxhash64("query_id"), F.col("_nq")).alias("_i"), every("_nd").alias("_j"), "query_id", "_q")
     right = d.join(sizes, "_on").select("_on", every("_nq").alias("_i"), F.pmod(F.xxhash64("chunk_id"), F.col("_nd")).alias("_j"), "chunk_id", "chunk_ord", "_d")
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk_ord")
+        rows = _in_order(rows)
         score = np.round(_block_scores(asked["_q"], rows["_d"]), digits)
         key = np.where(np.isnan(score), -np.inf, score)
         which, place = [], []
@@ -129,24 +123,48 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def bm25_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id, chunk_ord, size, term, tf of the terms that queries have; each chunk also has one row with an empty term.
+
+    This is the one pass over texts: stored, so that frequencies, averages and scores of any settings are
+    taken from it.
+    """
+    empty = F.lit("").alias("term")
+    words = queries.select(F.explode(F.concat(tx.tokens(F.col("question")), F.array(empty))).alias("term")).distinct()
+    # without queries nothing is asked, and statistics are still those of all chunks
+    words = words.unionByName(queries.sparkSession.range(1).select(empty)).distinct()
+    sized = chunks.select("chunk_id", "chunk_ord", tx.tokens(F.col("text")).alias("_t"))
+    each = sized.select("chunk_id", "chunk_ord", F.size("_t").alias("size"), F.explode(F.concat("_t", F.array(empty))).alias("term"))
+    return stored(each.join(words, "term", "left_semi").groupBy("chunk_id", "chunk_ord", "size", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
     """query_id, chunk_id, chunk_ord, score of every pair that shares a term.
 
-    queries: query_id, question; chunks: chunk_id, chunk_ord, text. Repeated query terms count as often.
+    queries: query_id, question; chunks: chunk_id, chunk_ord, text, or the postings made of them. Repeated
+    query terms count as often.
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
+    rows = chunks if "tf" in chunks.columns else bm25_postings(queries, chunks)
+    postings = rows.where("term <> ''")
     asked = queries.select("query_id", F.explode(tx.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    words = small(asked.select("term").distinct())
-    sized = chunks.select("chunk_id", "chunk_ord", tx.tokens(F.col("text")).alias("_t")).withColumn("_n", F.size("_t"))
-    postings = sized.select("chunk_id", "chunk_ord", "_n", F.explode("_t").alias("term")).join(words, "term", "left_semi").groupBy("chunk_id", "chunk_ord", "_n", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(sized.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("average")))
-    weighed = small(asked.join(frequency, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"), "average"))
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / F.col("average")))
+    # one row
+    stats = F.broadcast(rows.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("average")))
+    weighed = asked.join(frequency, "term").join(stats, F.lit(True)).select("query_id", "term", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"), "average")
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("average")))
     return postings.join(weighed, "term").groupBy("query_id", "chunk_id", "chunk_ord").agg(F.round(F.sum(F.col("w") * share), digits).alias("score"))
 
 
+def bm25_violations(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, problem): ids that are blank, or that several chunks have."""
+    by = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    blank = tx.stripped(F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))) == ""
+    checks = F.array_compact(F.array(F.when(blank, "blank_chunk_id"), F.when(F.col("n") > 1, "duplicate_chunk_id")))
+    return by.select("chunk_id", F.explode(checks).alias("problem"))
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, **parameters) -> DataFrame:
     """query_id, chunk_id, rank, score: the k best, ties in the order of chunk_ord."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
@@ -263,11 +281,83 @@ def prompts(questions: DataFrame, contexts: DataFrame, template: str = PROMPT) -
 
 
 def paired_order(records: DataFrame, seed: int = 42) -> DataFrame:
-    """(query_id, strategy) of two strategies in a seeded order of queries, which strategy is first alternating."""
-    queries = records.select("query_id").distinct()
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string")).cast("binary")), "query_id"))
-    ranked = queries.withColumn("position", place)
+    """(position, turn, query_id, strategy) of two strategies in a seeded order of queries, which strategy is first alternating."""
+    queries = records.select("query_id").distinct().withColumn("_o", seeded(seed, "query_id"))
+    ranked = numbered(queries, "_o", "query_id", name="position").drop("_o")
     met = records.join(ranked, "query_id")
     up = F.row_number().over(Window.partitionBy("query_id").orderBy("strategy"))
     down = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("strategy")))
     return met.withColumn("turn", F.when(F.col("position") % 2 == 1, up).otherwise(down)).select("position", "turn", "query_id", "strategy")
+
+
+def retrieval_violations(queries: DataFrame, index: DataFrame, *, on: str | None = None) -> DataFrame:
+    """(query_id, problem): blank questions, and with `on` values that no row of the index has."""
+    blank = queries.where(tx.stripped(F.coalesce("question", F.lit(""))) == "").select("query_id", F.lit("blank_query").alias("problem"))
+    if on is None:
+        return blank
+    lost = queries.join(index.select(on).distinct(), on, "left_anti").select("query_id", F.lit(f"unknown_{on}").alias("problem"))
+    return blank.unionByName(lost)
+
+
+def insisted(df: DataFrame, violations: DataFrame, what: str) -> DataFrame:
+    """The table, or an error when it is read that tells the first broken rule: violations has `problem`."""
+    first = F.broadcast(violations.agg(F.min("problem").alias("_problem"), F.count(F.lit(1)).alias("_broken")))
+    met = df.join(first, F.lit(True))
+    sound = F.when(F.col("_broken") > 0, F.raise_error(F.concat(F.lit(f"{what}: "), F.col("_broken").cast("string"), F.lit(" broken, such as "), F.col("_problem"))).cast("boolean")).otherwise(F.lit(True))
+    return met.where(sound).drop("_problem", "_broken")
+
+
+def context_violations(ranking: DataFrame, budget: int) -> DataFrame:
+    """(query_id, problem): texts that can't fill the budget, ranks with gaps, chunks that come twice or have no text."""
+    by = ranking.groupBy("query_id").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"), F.count_distinct("rank").alias("r"), F.max("rank").alias("z"), F.count_distinct("chunk_id").alias("c"), F.count_if(F.coalesce("words", F.lit(0)) == 0).alias("bare"))
+    checks = F.array_compact(F.array(F.when(F.coalesce("w", F.lit(0)) < budget, "insufficient_text"), F.when((F.col("r") != F.col("n")) | (F.col("z") != F.col("n")), "ranks_not_contiguous"), F.when(F.col("c") != F.col("n"), "duplicate_chunk"), F.when(F.col("bare") > 0, "chunk_without_text")))
+    return by.select("query_id", F.explode(checks).alias("problem"))
+
+
+def answer_inputs(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """query_id, strategy, prompt: contexts has strategy; every strategy must have every question (see input_violations)."""
+    strategies = contexts.select("strategy").distinct()
+    each = [prompts(questions, contexts.where(F.col("strategy") == s).drop("strategy")).withColumn("strategy", F.lit(s)) for s in sorted(r.strategy for r in strategies.collect())]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.select("query_id", "strategy", "prompt")
+
+
+def input_violations(questions: DataFrame, runs: DataFrame) -> DataFrame:
+    """(query_id, strategy, problem): questions that a strategy's run lacks, and runs of unknown questions."""
+    every = questions.select("query_id").distinct().join(F.broadcast(runs.select("strategy").distinct()), F.lit(True))
+    have = runs.select("query_id", "strategy").distinct()
+    lacking = every.join(have, ["query_id", "strategy"], "left_anti").select("query_id", "strategy", F.lit("missing_run").alias("problem"))
+    return lacking.unionByName(have.join(questions.select("query_id"), "query_id", "left_anti").select("query_id", "strategy", F.lit("unknown_query").alias("problem")))
+
+
+def generated(prompts_: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """query_id [, strategy], answer, latency_ms: each prompt is answered by a generator that a Python worker loads once; a blank answer is an error."""
+    on_workers(prompts_.sparkSession)
+    keep = [c for c in prompts_.columns if c != "prompt"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        generate = load()
+        for batch in batches:
+            answers, took = [], []
+            for prompt in batch.column(len(keep)).to_pylist():
+                start = time.perf_counter()
+                answer = generate(prompt)
+                took.append(1000 * (time.perf_counter() - start))
+                if not (answer or "").strip():
+                    raise ValueError("the generator gave no answer")
+                answers.append(answer.strip())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(answers, pa.string()), pa.array(took, pa.float64())], names=[*keep, "answer", "latency_ms"])
+
+    rows = prompts_.select(*keep, "prompt")
+    return rows.mapInArrow(made, rows.drop("prompt").schema.add("answer", "string").add("latency_ms", "double"))
+
+
+def timed(run: Callable[[], DataFrame], queries: int) -> tuple[DataFrame, float]:
+    """A run, stored, and the wall-clock milliseconds that each of its queries took on average."""
+    if queries <= 0:
+        raise ValueError("there must be a query to time")
+    start = time.perf_counter()
+    found = stored(run(), "timed-run")
+    return found, 1000 * (time.perf_counter() - start) / queries

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigrain.operators import chunking, groundtruth, retrieval
-from verdigrain.operators.retrieval import small
-from verdigrain.session import table
+from verdigrain.session import stored, table
 
 WORDS, OVERLAP = 150, 30
 
@@ -21,8 +20,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered(chunks: DataFrame) -> DataFrame:
-    """Chunks with one column that keeps their order."""
-    return chunks.withColumn("chunk_ord", F.col("document_id") * 100_000 + F.col("chunk_index"))
+    """Chunks with one column that keeps their order, by document and number."""
+    return chunks.withColumn("chunk_ord", F.struct("document_id", "chunk_index"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,28 +32,36 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, document_id, evidence_start, evidence_end of the first verbatim mention of each question in each document.
 
     A text that holds a question holds its inner words between blanks; the longest of them finds the
-    documents to look at by an equi-join.
+    documents to look at by an equi-join of ids, and only those documents' texts are searched. A question
+    of one or two words is searched in all texts.
     """
     inner = F.slice(F.split("question", r"\s+"), F.lit(2), F.greatest(F.lit(0), F.size(F.split("question", r"\s+")) - 2))
     asked = questions(spark, sf_dir).withColumn("_w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     docs = documents(spark, sf_dir)
-    keys = docs.select("document_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_w"))
-    by_word = keys.join(small(asked.where("_w IS NOT NULL")), "_w")
-    short = docs.crossJoin(small(asked.where("_w IS NULL"))).select(*by_word.columns)
+    keys = docs.select("document_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_w"))
+    pairs = keys.join(asked.where("_w IS NOT NULL"), "_w").select("document_id", "query_id", "question").distinct()
+    by_word = docs.join(pairs, "document_id").select("query_id", "document_id", "question", "text")
+    short = docs.join(asked.where("_w IS NULL"), F.expr("instr(text, question) > 0")).select(*by_word.columns)
     at = F.expr("instr(text, question)")
     return by_word.unionByName(short).withColumn("_at", at).where("_at > 0").select("query_id", "document_id", (F.col("_at") - 1).cast("bigint").alias("evidence_start"), (F.col("_at") - 1 + F.length("question")).cast("bigint").alias("evidence_end"))
 
 
-def run(spark: SparkSession, sf_dir: str, k: int = 10, **parameters) -> DataFrame:
-    """A BM25 run with documents: query_id, chunk_id, rank, score, document_id."""
-    scores = retrieval.bm25_scores(questions(spark, sf_dir), chunks(spark, sf_dir), **parameters)
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks' postings for all questions, stored: runs of any settings share them."""
+    return retrieval.bm25_postings(questions(spark, sf_dir), chunks(spark, sf_dir))
+
+
+def run(spark: SparkSession, sf_dir: str, k: int = 10, own: DataFrame | None = None, **parameters) -> DataFrame:
+    """A BM25 run with documents: query_id, chunk_id, rank, score, document_id. own: postings that exist already."""
+    scores = retrieval.bm25_scores(questions(spark, sf_dir), postings(spark, sf_dir) if own is None else own, **parameters)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
     # the order column has the document in it: no second look at the chunks
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", F.floor(F.col("chunk_ord") / 100_000).cast("bigint").alias("document_id"))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", "chunk_ord.document_id")
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groundtruth.qrel_candidates(evidence(spark, sf_dir), chunks(spark, sf_dir))
+    """Evidence mapped to chunks, stored: metrics read it several times."""
+    return stored(groundtruth.qrel_candidates(evidence(spark, sf_dir), chunks(spark, sf_dir)), "qrels")
 
 
 SQL_CHUNKS = r"""
@@ -66,7 +73,7 @@ win AS (SELECT document_id, n, unnest(range(0, CASE WHEN n <= 150 THEN 1 ELSE CA
 span AS (SELECT win.document_id, win.j AS chunk_index, CAST(a.st AS BIGINT) AS start_position, CAST(b.en AS BIGINT) AS end_position FROM win
   JOIN ws a ON a.document_id = win.document_id AND a.i = win.j * 120 + 1 JOIN ws b ON b.document_id = win.document_id AND b.i = least(win.j * 120 + 150, win.n)),
 chunks AS (SELECT span.document_id || '-fixed-' || substr(sha1('fixed|' || span.document_id || '|' || chunk_index || '|' || start_position || '|' || end_position), 1, 12) AS chunk_id,
-  span.document_id, chunk_index, span.document_id * 100000 + chunk_index AS chunk_ord, start_position, end_position, substring(d.text, start_position + 1, end_position - start_position) AS text
+  span.document_id, chunk_index, start_position, end_position, substring(d.text, start_position + 1, end_position - start_position) AS text
   FROM span JOIN documents d ON d.doc_id = span.document_id)"""
 
 SQL_TOKENS = r"list_filter(string_split(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -74,23 +81,23 @@ SQL_TOKENS = r"list_filter(string_split(regexp_replace(replace(lower({0}), 'ß',
 SQL_BM25 = (
     SQL_CHUNKS
     + r""",
-ct AS (SELECT chunk_id, chunk_ord, document_id, """ + SQL_TOKENS.format("text") + r""" AS t FROM chunks),
+ct AS (SELECT chunk_id, chunk_index, document_id, """ + SQL_TOKENS.format("text") + r""" AS t FROM chunks),
 st AS (SELECT count(*) AS n, avg(len(t)) AS average FROM ct),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(""" + SQL_TOKENS.format("text") + r""") AS term FROM benchmark) GROUP BY 1, 2),
-tf AS (SELECT chunk_id, chunk_ord, document_id, size, term, count(*) AS tf FROM (SELECT chunk_id, chunk_ord, document_id, len(t) AS size, unnest(t) AS term FROM ct) GROUP BY ALL),
+tf AS (SELECT chunk_id, chunk_index, document_id, size, term, count(*) AS tf FROM (SELECT chunk_id, chunk_index, document_id, len(t) AS size, unnest(t) AS term FROM ct) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
 )
 
 
 def sql_scores(name: str, k1: float = 1.2, b: float = 0.75) -> str:
     return f""",
-{name}_score AS (SELECT qt.query_id, tf.chunk_id, tf.chunk_ord, tf.document_id, round(sum(qtf * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * (tf.tf * ({k1} + 1) / (tf.tf + {k1} * (1 - {b} + {b} * tf.size / st.average)))), 9) AS score
+{name}_score AS (SELECT qt.query_id, tf.chunk_id, tf.chunk_index, tf.document_id, round(sum(qtf * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * (tf.tf * ({k1} + 1) / (tf.tf + {k1} * (1 - {b} + {b} * tf.size / st.average)))), 9) AS score
   FROM tf JOIN qt USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL)"""
 
 
 def sql_run(name: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> str:
     return sql_scores(name, k1, b) + f""",
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank FROM {name}_score) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM {name}_score) WHERE rank <= {k})"""
 
 
 SQL_EVIDENCE = """

@@ -68,23 +68,23 @@ register("bm25_topk", bm25_topk, f"WITH {d.SQL_BM25}{d.sql_run('r')} SELECT quer
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every embedding as a query, and as a row of the index."""
+    """Every embedding whose id is divisible by 20 as a query, and all of them as the index."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"), "label")
-    return rows.select(F.col("chunk_id").alias("query_id"), "vector", "label"), rows
+    return rows.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector", "label"), rows
 
 
 def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _vectors(spark, sf_dir)
-    return _rounded(retrieval.dense_topk_blocks(queries, index, 10).withColumn("rank", F.col("rank").cast("bigint")), "score")
+    return _rounded(retrieval.dense_topk(queries, index, 10).withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
-_SQL_DENSE = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v), 9) AS score FROM n q JOIN n c ON {0} WHERE q.vec_id < 50), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"
+_SQL_DENSE = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v), 9) AS score FROM n q JOIN n c ON {0} WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"
 register("dense_topk_cosine", dense_topk_cosine, _SQL_DENSE.format("true"))
 
 
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _vectors(spark, sf_dir)
-    return _rounded(retrieval.dense_topk_blocks(queries, index, 10, on="label").withColumn("rank", F.col("rank").cast("bigint")), "score")
+    return _rounded(retrieval.dense_topk(queries, index, 10, on="label").withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
 register("dense_topk_filtered", dense_topk_filtered, _SQL_DENSE.format("q.label = c.label"))
@@ -95,8 +95,8 @@ SWEEP = [1.0, 0.75, 0.5, 0.25, 0.0]
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run by term presence, with BM25 ranks of its candidates."""
-    first = d.run(spark, sf_dir, 20, k1=0.2, b=0.0)
-    own = d.chunks(spark, sf_dir)
+    own = d.postings(spark, sf_dir)
+    first = d.run(spark, sf_dir, 20, own, k1=0.2, b=0.0)
     return retrieval.lexical_ranks(first, retrieval.bm25_scores(d.questions(spark, sf_dir), own))
 
 
@@ -125,8 +125,12 @@ wide AS (SELECT idl.query_id, idl.k, coalesce(c / u, 0) AS recall, coalesce(1 /
 m AS (SELECT query_id, k, 'recall' AS metric, CAST(recall AS DOUBLE) AS value FROM wide UNION ALL SELECT query_id, k, 'mrr', mrr FROM wide UNION ALL SELECT query_id, k, 'ndcg', ndcg FROM wide)"""
 
 
-def _metrics(spark: SparkSession, sf_dir: str, run: DataFrame) -> DataFrame:
-    qrels = d.qrels(spark, sf_dir).select("query_id", "chunk_id", "evidence_id", F.col("auto_grade").alias("grade"))
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.qrels(spark, sf_dir).select("query_id", "chunk_id", "evidence_id", F.col("auto_grade").alias("grade"))
+
+
+def _metrics(spark: SparkSession, sf_dir: str, run: DataFrame, qrels: DataFrame | None = None) -> DataFrame:
+    qrels = _graded(spark, sf_dir) if qrels is None else qrels
     return metrics.ranking_metrics(qrels, run, qrels.select("query_id", "evidence_id", "chunk_id"))
 
 
@@ -204,8 +208,9 @@ UNION ALL SELECT 'macro', metric, k, NULL, round(avg(value), 6), CAST(sum(querie
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = d.qrels(spark, sf_dir).select("query_id", "chunk_id", F.col("auto_grade").alias("grade"))
     expected = _expected(spark, sf_dir)
-    a = metrics.retrieval_status(qrels, d.run(spark, sf_dir), expected, 3)
-    b = metrics.retrieval_status(qrels, d.run(spark, sf_dir, k1=0.2, b=0.0), expected, 3)
+    own = d.postings(spark, sf_dir)
+    a = metrics.retrieval_status(qrels, d.run(spark, sf_dir, own=own), expected, 3)
+    b = metrics.retrieval_status(qrels, d.run(spark, sf_dir, own=own, k1=0.2, b=0.0), expected, 3)
     return metrics.paired_outcomes(a, b, ("bm25", "presence"))
 
 
@@ -271,7 +276,6 @@ def context_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.context_delivery(included, first).select("query_id", "evidence_hit", F.col("words").cast("bigint").alias("words"), "units")
 
 
-register("context_delivery", context_delivery)
 
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +288,8 @@ register("latency_summary", latency_summary, "SELECT event_type, count(value) AS
 
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _metrics(spark, sf_dir, d.run(spark, sf_dir)), _metrics(spark, sf_dir, d.run(spark, sf_dir, k1=0.2, b=0.0))
+    own, qrels = d.postings(spark, sf_dir), _graded(spark, sf_dir)
+    return _metrics(spark, sf_dir, d.run(spark, sf_dir, own=own), qrels), _metrics(spark, sf_dir, d.run(spark, sf_dir, own=own, k1=0.2, b=0.0), qrels)
 
 
 def _sql_two(tail: str) -> str:
@@ -322,38 +327,37 @@ c2 AS (SELECT *, row_number() OVER (PARTITION BY metric, k ORDER BY cluster) - 1
 
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = inference.clustered(inference.paired(*_two_runs(spark, sf_dir)), _clusters(spark, sf_dir), ["metric", "k"])
-    return _rounded(inference.cluster_bootstrap(sums, ["metric", "k"], samples=200), "ci_low", "ci_high")
+    return _rounded(inference.cluster_bootstrap(sums, ["metric", "k"], samples=2000), "ci_low", "ci_high")
 
 
 register("cluster_bootstrap_ci", cluster_bootstrap_ci, _sql_two(_SQL_CLUSTERS + """,
-dr AS (SELECT metric, k, rep, CAST(('0x' || substr(md5('42|' || rep || '|' || i), 1, 8)) AS BIGINT) % cn AS place FROM (SELECT DISTINCT metric, k, cn FROM c2) CROSS JOIN (SELECT unnest(range(1, 201)) AS rep) CROSS JOIN LATERAL (SELECT unnest(range(0, cn)) AS i)),
+dr AS (SELECT metric, k, rep, CAST(('0x' || substr(md5('42|' || rep || '|' || i), 1, 8)) AS BIGINT) % cn AS place FROM (SELECT DISTINCT metric, k, cn FROM c2) CROSS JOIN (SELECT unnest(range(1, 2001)) AS rep) CROSS JOIN LATERAL (SELECT unnest(range(0, cn)) AS i)),
 me AS (SELECT metric, k, rep, sum(s) / sum(n) AS v FROM dr JOIN c2 USING (metric, k, place) GROUP BY 1, 2, 3)
 SELECT metric, k, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM me GROUP BY 1, 2"""))
 
 
 def sign_flip_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = inference.clustered(inference.paired(*_two_runs(spark, sf_dir)), _clusters(spark, sf_dir), ["metric", "k"])
-    return _rounded(inference.sign_flip(sums, ["metric", "k"], samples=500), "observed", "p_value")
+    return _rounded(inference.sign_flip(sums, ["metric", "k"], samples=10_000), "observed", "p_value")
 
 
 register("sign_flip_p", sign_flip_p, _sql_two(_SQL_CLUSTERS + """,
-fl AS (SELECT metric, k, rep, sum(CASE WHEN CAST(('0x' || substr(md5('42|' || rep || '|' || place), 1, 8)) AS BIGINT) % 2 = 0 THEN s ELSE -s END) AS v FROM c2 CROSS JOIN (SELECT unnest(range(1, 501)) AS rep) GROUP BY 1, 2, 3),
+fl AS (SELECT metric, k, rep, sum(CASE WHEN CAST(('0x' || substr(md5('42|' || rep || '|' || place), 1, 8)) AS BIGINT) % 2 = 0 THEN s ELSE -s END) AS v FROM c2 CROSS JOIN (SELECT unnest(range(1, 10001)) AS rep) GROUP BY 1, 2, 3),
 ob AS (SELECT metric, k, sum(s) AS s, sum(n) AS n FROM c2 GROUP BY 1, 2)
-SELECT metric, k, round(max(ob.s) / max(ob.n), 6) AS observed, round((count(*) FILTER (round(abs(v / ob.n), 12) >= round(abs(ob.s / ob.n), 12)) + 1) / 501, 6) AS p_value FROM fl JOIN ob USING (metric, k) GROUP BY 1, 2"""))
+SELECT metric, k, round(max(ob.s) / max(ob.n), 6) AS observed, round((count(*) FILTER (round(abs(v / ob.n), 12) >= round(abs(ob.s / ob.n), 12)) + 1) / 10001, 6) AS p_value FROM fl JOIN ob USING (metric, k) GROUP BY 1, 2"""))
 
 
 def factorial_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arms from two BM25 settings at two depths."""
     qrels = d.qrels(spark, sf_dir).select("query_id", "chunk_id", "evidence_id", F.col("auto_grade").alias("grade"))
     settings = {"fixed_independent": (1.2, 0.75), "fixed_contextual": (0.2, 0.0), "sac_independent": (1.2, 0.0), "sac_contextual": (0.2, 0.75)}
-    arms = None
+    arms, own = None, d.postings(spark, sf_dir)
     for arm, (k1, b) in settings.items():
-        found = metrics.ranking_metrics(qrels, d.run(spark, sf_dir, 5, k1=k1, b=b), qrels.select("query_id", "evidence_id", "chunk_id"), (5,)).withColumn("arm", F.lit(arm))
+        found = metrics.ranking_metrics(qrels, d.run(spark, sf_dir, 5, own, k1=k1, b=b), qrels.select("query_id", "evidence_id", "chunk_id"), (5,)).withColumn("arm", F.lit(arm))
         arms = found if arms is None else arms.unionByName(found)
     return _rounded(inference.contrast_outcomes(inference.contrasts(arms)), "mean_difference")
 
 
-register("factorial_contrasts", factorial_contrasts)
 
 
 def icc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +366,9 @@ def icc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(inference.intraclass_correlations(items, "l_orderkey", "q"), "icc")
 
 
-register("icc", icc, "WITH x AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT l_orderkey, avg(q) AS m, sum(q * q) - count(*) * avg(q) * avg(q) AS v FROM x WHERE n = 2 GROUP BY 1), t AS (SELECT 2 * var_samp(m) AS b, sum(v) / count(*) AS w FROM g) SELECT round(CASE WHEN b + w = 0 THEN 0 ELSE least(1, greatest(0, (b - w) / (b + w))) END, 6) AS icc FROM t")
+register("icc", icc, """WITH g AS (SELECT l_orderkey, count(l_quantity) AS n, avg(CAST(l_quantity AS DOUBLE)) AS m, var_pop(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1),
+t AS (SELECT n, count(*) AS clusters, n * var_samp(m) AS b, CASE WHEN n > 1 THEN n * sum(v) / (count(*) * (n - 1)) END AS w FROM g GROUP BY 1)
+SELECT n, clusters, CASE WHEN clusters >= 2 AND n >= 2 THEN round(CASE WHEN b + (n - 1) * w = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (b - w) / (b + (n - 1) * w))) END, 6) END AS icc FROM t""")
 
 
 def plan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,12 +380,20 @@ register("plan_grid", plan_grid, "SELECT * FROM (VALUES (0.05::DOUBLE, 0.0::DOUB
 
 def hashed_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature-hashed vectors of chunks and questions, searched exactly."""
-    own = embedding.hashed_vectors(d.chunks(spark, sf_dir), F.col("text"), dimension=64, out="vector")
-    asked = embedding.hashed_vectors(d.questions(spark, sf_dir), F.col("question"), dimension=64, out="vector")
-    return retrieval.dense_topk(asked, own.where("vector IS NOT NULL"), 10)
+    own = embedding.hashed_vectors(d.chunks(spark, sf_dir), ["chunk_id", "chunk_ord"], F.col("text"), dimension=64, out="vector")
+    asked = embedding.hashed_vectors(d.questions(spark, sf_dir), ["query_id"], F.col("question"), dimension=64, out="vector")
+    found = retrieval.dense_topk(asked, own, 10)
+    return _rounded(found.withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
-register("hashed_dense_topk", hashed_dense_topk)
+register("hashed_dense_topk", hashed_dense_topk, f"""WITH {d.SQL_CHUNKS},
+tk AS (SELECT 'c' AS side, chunk_id AS id, unnest({d.SQL_TOKENS.format('text')}) AS t FROM chunks UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), unnest({d.SQL_TOKENS.format('text')}) FROM benchmark),
+pl AS (SELECT side, id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS place, sum(CASE WHEN CAST(('0x' || substr(md5(t), 9, 8)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w FROM tk GROUP BY ALL),
+no AS (SELECT side, id, sqrt(sum(w * w)) AS n FROM pl GROUP BY 1, 2 HAVING sum(w * w) > 0),
+ids AS (SELECT q.id AS query_id, c.id AS chunk_id, q.n AS qn, c.n AS cn FROM no q JOIN no c ON q.side = 'q' AND c.side = 'c'),
+sc AS (SELECT ids.query_id, ids.chunk_id, round(coalesce(d, 0) / (qn * cn), 9) AS score FROM ids LEFT JOIN (SELECT q.id AS query_id, c.id AS chunk_id, sum(q.w * c.w) AS d FROM pl q JOIN pl c USING (place) WHERE q.side = 'q' AND c.side = 'c' GROUP BY 1, 2) USING (query_id, chunk_id)),
+r AS (SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM sc JOIN chunks USING (chunk_id))
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 
 
 def run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,4 +413,3 @@ def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("queries"))
 
 
-register("failure_classes", failure_classes)

@@ -88,27 +88,6 @@ def _whole(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return d.documents(spark, sf_dir).select("document_id", F.lit(label).alias("section_label"), F.lit(None).cast("string").alias("section_heading"), F.lit(0).cast("bigint").alias("start_position"), F.length("text").cast("bigint").alias("end_position"), F.col("text").alias("section_text"))
 
 
-def greedy_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structure_chunks(_whole(spark, sf_dir, "unknown"), words=100, overlap=20, backfill=True).select("chunk_id", "document_id", "chunk_index", "start_position", "end_position")
-
-
-register("greedy_sentence_chunks", greedy_sentence_chunks)
-
-
-def rhetorical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structure_chunks(_whole(spark, sf_dir, "fakta"), words=100, overlap=20, mode="legal_rhetorical", context="section").select("chunk_id", "document_id", "chunk_index", "start_position", "end_position")
-
-
-register("rhetorical_chunks", rhetorical_chunks)
-
-
-def recursive_char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.recursive_chunks(d.documents(spark, sf_dir)).select("chunk_id", "document_id", "chunk_index", "start_position", "end_position")
-
-
-register("recursive_char_chunks", recursive_char_chunks)
-
-
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.documents(spark, sf_dir).select("document_id", F.size(chunking.sentence_spans(F.col("text"))).cast("bigint").alias("sentences"))
 
@@ -122,7 +101,6 @@ def summary_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", F.array_join("unsupported_number_tokens", "|").alias("unsupported"), F.round("lexical_support_ratio", 6).alias("lexical_support_ratio"), "unexpected_language", F.array_join("quality_flags", "|").alias("flags"), "automated_quality_status")
 
 
-register("summary_diagnostics", summary_diagnostics)
 
 
 def _representations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +128,6 @@ def misaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("representation_alignment", misaligned, "SELECT '' AS chunk_id FROM documents WHERE false")
 
 
-def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = augment.budgeted(_representations(spark, sf_dir).where("method = 'M1'"), 160)
-    return out.select("chunk_id", *[F.col(c).cast("bigint").alias(c) for c in ("embedding_tokens_before_budget", "embedding_tokens", "original_only_tokens")], "summary_budget_applied", "over_budget")
-
-
-register("token_budget", token_budget)
-
-
 def group_cap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.capped(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 4, 50)
 
@@ -236,6 +206,7 @@ def question_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("question_drafts", question_drafts)
-register("question_failures", question_failures)
-register("fingerprints", lambda spark, sf_dir: extract.fingerprints(_detected(spark, sf_dir)))
-register("question_slots", lambda spark, sf_dir: questions.question_slots(_detected(spark, sf_dir)))
+register("question_failures", question_failures, "SELECT doc_id AS document_id, 'all' AS question_type FROM documents")
+register("fingerprints", lambda spark, sf_dir: extract.fingerprints(_detected(spark, sf_dir)), "SELECT doc_id AS document_id, CAST(NULL AS VARCHAR) AS summary FROM documents")
+register("question_slots", lambda spark, sf_dir: questions.question_slots(_detected(spark, sf_dir)), """WITH pl AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents)
+SELECT 'q-' || CASE WHEN p < 1000 THEN lpad(CAST(p AS VARCHAR), 3, '0') ELSE CAST(p AS VARCHAR) END || '-' || k AS query_id, doc_id AS document_id, CASE k WHEN 1 THEN CASE WHEN p % 2 = 1 THEN 'identitas_terdakwa' ELSE 'riwayat_penahanan' END WHEN 2 THEN 'fakta' WHEN 3 THEN 'pertimbangan_hukum' ELSE 'amar_putusan' END AS target_section_label, false AS found FROM pl CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k)""")

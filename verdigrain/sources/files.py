@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+import time
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Any
 
@@ -106,6 +108,51 @@ def page_text(blocks: list[list[tuple[tuple[float, float], str]]]) -> str:
     return "\n\n".join(b for b in kept if b.strip())
 
 
+def printed_text(spans: DataFrame) -> DataFrame:
+    """document_id, page_number, raw_text of printed lines (block, line, x, y, text): as page_text has it, but of a table.
+
+    (x, y) is a line's direction; a page's lines are few.
+    """
+    upright = (F.col("x") > 0.999) & (F.abs("y") < 0.001)
+    blocks = spans.groupBy("document_id", "page_number", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(upright, F.struct("line", "text")))), lambda s: s["text"]), "\n").alias("t"))
+    full = F.when(F.col("t").rlike(r"(?U)\S"), F.struct("block", "t"))
+    return blocks.groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(full)), lambda s: s["t"]), "\n\n").alias("raw_text"))
+
+
+def acquired(listing: list[str], fetch: Callable[[str], bytes], *, attempts: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, threads: int = 8) -> dict[str, bytes]:
+    """What a fetcher gives for each address, on some threads; after a failed attempt it waits longer each time, and the last failure is raised.
+
+    Driver-side: the list is what selection (relational.capped) has left.
+    """
+
+    def one(address: str) -> bytes:
+        for n in range(1, attempts + 1):
+            try:
+                return fetch(address)
+            except OSError:
+                if n == attempts:
+                    raise
+                sleep(wait * n)
+        raise ValueError("attempts must be positive")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(listing, pool.map(one, listing), strict=True))
+
+
+def restored(files: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    """Write the files that a manifest names to a table of local_file and content, if all are there and match it.
+
+    Spark's commit makes the write whole or nothing; what doesn't match is an error before it.
+    """
+    problems = file_mismatches(files, manifest)
+    first = problems.agg(F.min(F.concat_ws(": ", "local_file", "problem"))).first()[0]
+    if first is not None:
+        raise ValueError(f"files don't match their manifest, such as {first}")
+    own = files.select(F.element_at(F.split("path", "/"), -1).alias("local_file"), "content")
+    own.join(manifest.select("local_file"), "local_file", "left_semi").write.mode("errorifexists").parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
 def _xml_text(tag: str) -> Column:
     return tx.squeezed(F.xpath_string("xml", F.lit(f"/putusan/{tag}")))
 
@@ -229,6 +276,34 @@ def bar_chart(labels: list[str], series: Mapping[str, list[float]], title: str =
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="10" y="20">{title}</text>{"".join(bars + names)}</svg>'
 
 
+def line_chart(x: list[float], series: Mapping[str, list[float]], title: str = "") -> str:
+    """Lines over common positions as SVG."""
+    top, left, right = max([v for s in series.values() for v in s] + [1e-9]), min(x), max(x)
+    place = lambda a, v: f"{50 + 300 * (a - left) / ((right - left) or 1):.1f},{200 - 160 * v / top:.1f}"
+    tones = ("#4477aa", "#ee6677", "#228833", "#ccbb44")
+    lines = [f'<polyline fill="none" stroke="{tones[j % 4]}" points="{" ".join(place(a, v) for a, v in zip(x, values, strict=True))}"><title>{name}</title></polyline>' for j, (name, values) in enumerate(series.items())]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="400" height="240"><text x="10" y="20">{title}</text>{"".join(lines)}</svg>'
+
+
+def interval_chart(rows: list[tuple[str, float, float, float]], title: str = "") -> str:
+    """Means with their intervals (name, low, mean, high) as SVG, with a line at zero."""
+    low, high = min([r[1] for r in rows] + [0.0]), max([r[3] for r in rows] + [1e-9])
+    place = lambda v: f"{120 + 260 * (v - low) / ((high - low) or 1):.1f}"
+    marks = [f'<text x="10" y="{45 + 20 * i}" font-size="11">{name}</text><line x1="{place(a)}" x2="{place(z)}" y1="{40 + 20 * i}" y2="{40 + 20 * i}" stroke="#4477aa"/><circle cx="{place(m)}" cy="{40 + 20 * i}" r="3"><title>{m:.4f}</title></circle>' for i, (name, a, m, z) in enumerate(rows)]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="400" height="{60 + 20 * len(rows)}"><text x="10" y="20">{title}</text><line x1="{place(0.0)}" x2="{place(0.0)}" y1="30" y2="{40 + 20 * len(rows)}" stroke="#bbbbbb"/>{"".join(marks)}</svg>'
+
+
+# What a report says of its results at each stage.
+CAVEATS = {"pilot": "Pilot: results are exploratory and choose settings only.", "development": "Development: settings were chosen on these questions.", "holdout": "Held-out set: settings were fixed before."}
+
+
+def report(title: str, stage: str, tables: Mapping[str, DataFrame]) -> str:
+    """A Markdown report: a title, the caveat of its stage, and small tables under headings."""
+    if stage not in CAVEATS:
+        raise ValueError(f"unknown stage {stage}; there are {', '.join(CAVEATS)}")
+    return "\n".join([f"# {title}\n", f"> {CAVEATS[stage]}\n", *[f"## {name}\n\n{markdown(df)}" for name, df in tables.items()]])
+
+
 def run_stages(stages: Mapping[str, Any], wanted: str = "all", **context: Any) -> list[str]:
     """Run named steps in their order, or one of them; gives the names run."""
     if wanted != "all" and wanted not in stages:
