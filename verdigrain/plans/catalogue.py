@@ -21,7 +21,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from verdigrain.plans import retrieval_queries, text_queries  # noqa: F401
+    from verdigrain.plans import comparison_queries, decisions, detail_queries, retrieval_queries, sequence_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
