@@ -135,3 +135,78 @@ def test_vectors(spark):
     assert (spans.start, spans.end) == (0, 2)
     whole = table(spark, "chunk_id string, text string", ("a", "x"), ("b", "y"))
     assert [r.chunk_id for r in embedding.index_differences(whole, whole.where("chunk_id = 'a'")).collect()] == ["b"]
+
+
+def test_layout_reach_and_narrowing():
+    facts = "x " * 4500 + "Bahwa Terdakwa Budi tanpa hak menjual sesuatu yang dilarang di pasar, perbuatan mana;"
+    assert questions.layout_span("fakta", facts) is None
+    a, b = questions.layout_span("fakta", facts, None)
+    assert facts[a:b] == "tanpa hak menjual sesuatu yang dilarang di pasar"
+    law = "bahwa dakwaan yang berbentuk tunggal diatur dalam Pasal 112 halaman 3 tentang Narkotika; Memperhatikan, Pasal 114 Undang-Undang tentang Narkotika;"
+    a, b = questions.layout_span("pertimbangan_hukum", law)
+    assert law[a:b] == "Pasal 114 Undang-Undang tentang Narkotika"
+    a, b = questions.layout_span("pertimbangan_hukum", "lain; Mengingat Pasal 5 saja;")
+    assert "lain; Mengingat Pasal 5 saja;"[a:b] == "Mengingat Pasal 5 saja;"
+    assert questions.layout_span("pertimbangan_hukum", "kosong") is None
+    held = "1. Penyidik lain sejak tanggal 2 Mei 2018 sampai dengan tanggal 3 Mei 2018; Terdakwa ditahan; 2. Penyidik sejak tanggal 4 Mei 2018 sampai dengan tanggal 5 Mei 2018;"
+    a, b = questions.layout_span("riwayat_penahanan", held)
+    assert held[a:b].startswith("2. Penyidik sejak tanggal 4")
+
+
+def test_contracts_raise(spark):
+    import pytest
+
+    runs = table(spark, "query_id string, chunk_id string, rank int", ("q", "a", 2))
+    with pytest.raises(Exception, match="ranks aren't contiguous"):
+        retrieval.insisted(runs, retrieval.ranking_violations(runs), "run").collect()
+    assert retrieval.insisted(runs, retrieval.ranking_violations(runs).where("false"), "run").count() == 1
+    asked = table(spark, "query_id string, prompt string", ("q", "p"))
+    assert retrieval.generated(asked, lambda: lambda p: f" {p}! ").first().answer == "p!"
+    with pytest.raises(Exception, match="no answer"):
+        retrieval.generated(asked, lambda: lambda p: "  ").collect()
+    from verdigrain.operators import relational
+
+    rows = table(spark, "g string", *[("a",)] * 3, *[("b",)] * 2)
+    assert sum(r["size"] for r in relational.disjoint_split(rows, "g", 5, exact=True).collect()) == 5
+    with pytest.raises(Exception, match="don't fill"):
+        relational.disjoint_split(rows, "g", 1, exact=True).collect()
+
+
+def test_checkpoints_of_vectors(spark, tmp_path):
+    import pytest
+
+    items = table(spark, "chunk_id bigint, text string", *[(k, "x" * k) for k in range(10)])
+    calls = []
+
+    def encode(bad):
+        def made(df):
+            calls.append(df.count())
+            return df.select("chunk_id", F.when(F.col("chunk_id") == bad, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.length("text").cast("double"))).alias("embedding"))
+
+        return made
+
+    with pytest.raises(Exception, match="bad vector of"):
+        embedding.checkpointed(items, str(tmp_path / "v"), encode(7), dimension=2, batches=3)
+    done = spark.read.parquet(str(tmp_path / "v")).count()
+    calls.clear()
+    out = embedding.checkpointed(items, str(tmp_path / "v"), encode(None), dimension=2, batches=3)
+    assert out.count() == 10 and sum(calls) == 10 - done
+
+
+def test_bounded_sources(spark):
+    seen = []
+
+    class Heads:
+        def summarize(self, sources):
+            assert all(len(s) <= 40 + 8 and " [...] " in s for s in sources)
+            return ["dibuat" for _ in sources]
+
+    own = table(spark, "section_text string", ("kata " * 50,), ("pendek",))
+    rows = {r.generation_status for r in augment.section_summaries(own, short=20, summarizer=Heads(), source_chars=40).collect()}
+    assert rows == {"generated", "copied"} and not seen
+
+
+def test_offsets_of_contextual_chunks(spark):
+    text = docs(spark, "satu dua tiga")
+    own = table(spark, "chunk_id string, document_id string, start_position int, end_position int, text string", ("a", "d0", 0, 4, "satu"), ("b", "d0", 5, 8, "dia"))
+    assert [r.chunk_id for r in embedding.offset_violations(text, own).collect()] == ["b"]

@@ -69,3 +69,67 @@ def test_stream(spark, tmp_path):
     query = chunks.chunk_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_printed_text_is_page_text(spark):
+    lines = [("d", 1, 0, 0, 1.0, 0.0, "a"), ("d", 1, 0, 1, 0.0, 1.0, "turned"), ("d", 1, 1, 2, 1.0, 0.0, "b"), ("d", 1, 1, 3, 1.0, 0.0, "c"), ("d", 2, 0, 0, 0.0, 1.0, "all turned")]
+    rows = files.printed_text(spark.createDataFrame(lines, "document_id string, page_number int, block int, line int, x double, y double, text string"))
+    assert {r.page_number: r.raw_text for r in rows.collect()} == {1: "a\n\nb\nc", 2: ""}
+
+
+def test_pdfs_by_a_stand_in(spark, tmp_path, monkeypatch):
+    """The reader's own part, with a module that has the calls of the optional library."""
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "fitz.py").write_text("""
+class Page:
+    def __init__(self, text): self.text = text
+    def get_text(self, kind):
+        span = lambda d, t: {"dir": d, "spans": [{"text": t}]}
+        return {"blocks": [{"lines": [span((1, 0), self.text), span((0, 1), "turned")]}, {}]}
+class Document(list):
+    def __enter__(self): return self
+    def __exit__(self, *error): return False
+def open(stream, filetype): return Document(Page(t) for t in bytes(stream).decode().split("|"))
+""")
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "Putusan 1.PDF").write_bytes(b"one|two")
+    (tmp_path / "in" / "skip.txt").write_bytes(b"x")
+    files.on_workers(spark)
+    environment = spark.sparkContext.environment
+    before = environment.get("PYTHONPATH", "")
+    environment["PYTHONPATH"] = f"{tmp_path / 'lib'}:{before}"
+    try:
+        rows = files.read_pdfs(spark, str(tmp_path / "in")).orderBy("page_number").collect()
+    finally:
+        environment["PYTHONPATH"] = before
+    assert [(r.filename, r.page_number, r.raw_text) for r in rows] == [("Putusan%201.PDF", 1, "one"), ("Putusan%201.PDF", 2, "two")] or [r.raw_text for r in rows] == ["one", "two"]
+    assert rows[0].document_id.startswith("putusan")
+
+
+def test_acquired_and_restored(spark, tmp_path):
+    tries, waits = {}, []
+
+    def fetch(address):
+        tries[address] = tries.get(address, 0) + 1
+        if tries[address] < 3:
+            raise OSError("busy")
+        return address.encode()
+
+    assert files.acquired(["a", "b"], fetch, sleep=waits.append) == {"a": b"a", "b": b"b"} and sorted(waits) == [1.0, 1.0, 2.0, 2.0]
+    with pytest.raises(OSError):
+        files.acquired(["c"], fetch, attempts=2, sleep=waits.append)
+    own = spark.createDataFrame([("x/a.xml", bytearray(b"one")), ("x/b.xml", bytearray(b"two"))], "path string, content binary")
+    manifest = own.select(F.element_at(F.split("path", "/"), -1).alias("local_file"), F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"))
+    assert files.restored(own, manifest, str(tmp_path / "r")).count() == 2
+    with pytest.raises(ValueError, match="b.xml: hash"):
+        files.restored(own, manifest.withColumn("sha256", F.when(F.col("local_file") == "b.xml", "0").otherwise(F.col("sha256"))), str(tmp_path / "s"))
+    assert not (tmp_path / "s").exists()
+
+
+def test_charts_and_reports(spark):
+    assert files.line_chart([1, 2], {"a": [0.1, 0.2]}, "t").count("<polyline") == 1
+    assert files.interval_chart([("a", -0.1, 0.0, 0.1), ("b", 0.0, 0.1, 0.2)]).count("<circle") == 2
+    text = files.report("Title", "pilot", {"Means": spark.createDataFrame([(1,)], "x int")})
+    assert text.startswith("# Title") and files.CAVEATS["pilot"] in text and "| 1 |" in text
+    with pytest.raises(ValueError):
+        files.report("Title", "other", {})
