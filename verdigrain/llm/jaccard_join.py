@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigrain.llm import textvec
-from verdigrain.llm.shared import buffers, dropped_tables, fresh_path, slices, stored
+from verdigrain.llm.shared import buffers, dropped_tables, fresh_path, released, slices, stored
 from verdigrain.session import on_workers
 
 BANDS, ROWS = 32, 4
@@ -230,6 +230,8 @@ def _groups(width: int, threshold: float, tolerance: float):
                 rows.append(row)
         if len(rows) > 1 and (out := told(key, rows)) is not None:
             yield out
+        rows.clear()
+        released()
 
     return work
 
@@ -260,6 +262,7 @@ def keyed(df: DataFrame, *, id_column: str, text_column: str, width: int) -> Dat
                         rows[k] = value
                 bands += rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "words", "bands"])
+        released()
 
     return df.select(id_column, text_column).mapInArrow(made, f"id {id_type}, key binary, words bigint, bands array<bigint>")
 
@@ -316,6 +319,7 @@ def with_key(df: DataFrame, *, text_column: str = "text", name: str = "__join_ke
                 low = textvec.lowered(own)
                 found += keys(own, at, low, textvec.words(low, at)[2])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.binary())], names=[*columns, name])
+        released()
 
     return rows.mapInArrow(made, rows.drop(name).schema.add(name, "binary"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigrain.llm.shared import buffers, dropped_tables, slices, stored
+from verdigrain.llm.shared import buffers, dropped_tables, released, slices, stored
 from verdigrain.session import on_workers
 
 BITS = 16
@@ -190,6 +190,7 @@ def fit(df: DataFrame, *, where: Column | None = None, id_column: str = "doc_id"
         rows = ((np.frombuffer(p, "<u2").astype(np.int64), g) for batch in batches for g, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         gram, total = Landmarks(own).sums(rows, weight)
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["gram", "total"])
+        released()
 
     parts = sample.select("label", "places").coalesce(16).mapInArrow(summed, "gram binary, total binary").collect()
     dropped_tables(df.sparkSession, held)
@@ -223,6 +224,7 @@ def identify(df: DataFrame, model: LanguageModel, *, text_column: str = "text",
                     names += one
                     scores.append(two)
             yield pa.RecordBatch.from_arrays([*got.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep, "lang_pred", "score"])
+        released()
 
     schema = rows.drop("_scored_text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(scored, schema)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from verdigrain.llm.shared import released
 from verdigrain.llm.tokens import WordCachedTokenizer
 from verdigrain.session import on_workers
 
@@ -206,6 +207,9 @@ def pack(
         if kind is not None:
             bins.finish()
             yield told(kind)
+        # a kept worker keeps the vocabulary only
+        tokenizer.forget()
+        released()
 
     more = ", ids array<bigint>" if with_ids else ""
     return df.select(id_column, text_column, *[loss_column] * (loss_column is not None)).mapInArrow(packed, f"`{id_column}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{more}")

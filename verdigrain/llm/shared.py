@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdigrain.session import dropped_tables, fresh_path, shared_dir, stored
 
-__all__ = ["buffers", "dropped_tables", "fresh_path", "hot_keys", "join_hot", "shared_dir", "slices", "stored", "text_or_empty"]
+__all__ = ["buffers", "dropped_tables", "fresh_path", "hot_keys", "join_hot", "released", "shared_dir", "slices", "stored", "text_or_empty"]
 
 #: Bytes of text that vectorised code works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -34,6 +35,14 @@ def hot_keys(groups: DataFrame, size: str) -> DataFrame:
     return groups.where(F.col(size) * 1000 > total)
 
 
+def released() -> None:
+    """Give freed memory back to the system, where its C library can: Python workers are kept between stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -15,17 +15,22 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that are kept; longer tables are made each time.
+_KEPT = 1 << 20
 
 
 def _tables(n: int) -> list[np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    size, made = 1 << max(12, int(n - 1).bit_length()), []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if size <= _KEPT:
+        _powers[:] = made
+    return made
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

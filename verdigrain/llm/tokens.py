@@ -101,7 +101,7 @@ class WordCachedTokenizer:
     def of(path: str) -> "WordCachedTokenizer":
         return WordCachedTokenizer(path)
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         chars = _bytes_of_chars()
@@ -116,7 +116,7 @@ class WordCachedTokenizer:
         self.added = sorted(x.encode() for x in added)
         self.words = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most = most
-        self._clear()
+        self.forget()
 
     @property
     def exact(self) -> Tokenizer:
@@ -125,15 +125,15 @@ class WordCachedTokenizer:
             self._exact = Tokenizer.from_file(self.path)
         return self._exact
 
-    def _clear(self) -> None:
-        """Of each known word, in the order of hashes: where its characters and its ids are."""
+    def forget(self) -> None:
+        """Begin anew. Of each known word, in the order of hashes: where its characters and its ids are."""
         self.hashes = np.zeros(0, np.uint64)
-        self.places = np.zeros((0, 4), np.int64)  # characters' start and number, ids' start and number
+        self.places = np.zeros((0, 4), np.int32)  # characters' start and number, ids' start and number
         self.chars, self.ids = _Pool(), _Pool()
 
     def _learn(self, whole: str, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
         if len(self.hashes) + len(hashes) > self.most:
-            self._clear()
+            self.forget()
         ids = [self.words.encode_ordinary(whole[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -141,7 +141,7 @@ class WordCachedTokenizer:
         first = self.ids.add(np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum()))) + np.cumsum(counts) - counts
         order = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, order, hashes)
-        self.places = np.insert(self.places, order, np.stack([chars, sizes, first, counts], 1), 0)
+        self.places = np.insert(self.places, order, np.stack([chars, sizes, first, counts], 1).astype(np.int32), 0)
 
     def _known(self, hashes: np.ndarray) -> np.ndarray:
         """The number of the word of each hash, or -1."""
@@ -162,14 +162,14 @@ class WordCachedTokenizer:
         first = rows[one]
         known = self._known(distinct)
         if len(self.hashes) + int((known < 0).sum()) > self.most:
-            self._clear()
+            self.forget()
             known[:] = -1
         new = first[known < 0]
         if len(new):
             self._learn(whole, points, starts[new], size[new], hashes[new])
             known = self._known(distinct)
         # a word is the cached one only if its characters are the same
-        place = self.places[known[which]]
+        place = self.places[known[which]].astype(np.int64)
         same = size[rows] == place[:, 1]
         same[same] = textvec.same_spans(points, starts[rows[same]], self.chars.data, place[same, 0], size[rows[same]])
         alone[rows[~same]] = True
