@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigrain.llm.shared import fresh_path, hot_keys, join_hot, stored
+from verdigrain.llm.shared import dropped_tables, fresh_path, hot_keys, join_hot, stored
 from verdigrain.session import on_workers
 
 # The fields of header lines by version, and the profile of revisits by payload.
@@ -399,4 +399,8 @@ def archived(df: DataFrame, *, least_bytes: int = 0, file_bytes: int = FILE_BYTE
     """The folder of WARC files made of pages by way of ARC files, with equal payloads kept once."""
     spark = df.sparkSession
     legacy = write_files(arc_files(df, file_bytes=file_bytes, **columns))
-    return write_files(convert(spark, legacy, revisits(read_arc(spark, legacy), least_bytes=least_bytes), file_bytes=file_bytes))
+    # stored, so that Spark knows the size of the marks before it chooses how files meet them
+    marks = stored(revisits(read_arc(spark, legacy), least_bytes=least_bytes), "warc-marks")
+    path = write_files(convert(spark, legacy, marks, file_bytes=file_bytes))
+    dropped_tables(spark, [legacy])
+    return path
