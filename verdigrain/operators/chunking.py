@@ -46,7 +46,10 @@ def check_window(words: int, overlap: int) -> None:
 
 
 def word_windows(text: Column, words: int, overlap: int) -> Column:
-    """start and end of windows of so many words, each of which repeats `overlap` words of the last."""
+    """start, end and text of windows of so many words, each of which repeats `overlap` words of the last.
+
+    A window's text is joined from its runs: a cut from the whole text would count characters from its start.
+    """
     check_window(words, overlap)
     step = words - overlap
     unit = math.gcd(words, step)
@@ -57,9 +60,10 @@ def word_windows(text: Column, words: int, overlap: int) -> Column:
         total = (F.size(run) - 1) * unit + tx.word_count(F.element_at(run, -1))
         count = F.when(total <= words, F.lit(1)).otherwise(F.ceil((total - words) / step) + 1)
         first = lambda i: i * (step // unit)
-        window = lambda ends, i: F.struct((at(ends, first(i)) + lead(at(run, first(i)))).cast("bigint").alias("start"), at(ends, F.least(first(i) + words // unit, F.size(run))).alias("end"))
+        body = lambda i: F.regexp_replace(F.array_join(F.slice(run, first(i) + 1, F.lit(words // unit)), ""), r"(?U)\A\s+", "")
+        window = lambda ends, i: F.struct((at(ends, first(i)) + lead(at(run, first(i)))).cast("bigint").alias("start"), at(ends, F.least(first(i) + words // unit, F.size(run))).alias("end"), body(i).alias("text"))
         made = let(prefix_sums(F.transform(run, F.length)), lambda ends: F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: window(ends, i)))
-        return F.when(F.size(run) > 0, made).otherwise(F.array().cast(SPANS))
+        return F.when(F.size(run) > 0, made).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string>>"))
 
     return let(runs, of)
 
@@ -74,9 +78,9 @@ def chunk_id(document: Column, strategy: Column, index: Column, start: Column, e
 
 def fixed_chunks(documents: DataFrame, words: int = 300, overlap: int = 50, *, strategy: str = "fixed") -> DataFrame:
     """Of document_id and text: chunk_id, document_id, chunk_index, strategy, text, start_position, end_position."""
-    exploded = documents.select("document_id", "text", F.posexplode(word_windows(F.col("text"), words, overlap)).alias("chunk_index", "span"))
+    exploded = documents.select("document_id", F.posexplode(word_windows(F.col("text"), words, overlap)).alias("chunk_index", "span"))
     start, end = F.col("span.start"), F.col("span.end")
-    return exploded.select(chunk_id(F.col("document_id"), F.lit(strategy), F.col("chunk_index"), start, end).alias("chunk_id"), "document_id", "chunk_index", F.lit(strategy).alias("strategy"), part(F.col("text"), F.col("span")).alias("text"), start.alias("start_position"), end.alias("end_position"))
+    return exploded.select(chunk_id(F.col("document_id"), F.lit(strategy), F.col("chunk_index"), start, end).alias("chunk_id"), "document_id", "chunk_index", F.lit(strategy).alias("strategy"), F.col("span.text").alias("text"), start.alias("start_position"), end.alias("end_position"))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -318,12 +322,12 @@ def parent_child_chunks(sources: DataFrame, *, parent: tuple[int, int] = (500, 1
         rows = rows.withColumns({"_parents": earlier(own), "_children": earlier(F.when(own > 0, (own - 1) * full + last).otherwise(0))})
     else:
         rows = rows.withColumns({"_parents": F.lit(0).cast("bigint"), "_children": F.lit(0).cast("bigint")})
-    rows = rows.select("*", F.posexplode(word_windows(F.col("text"), *parent)).alias("_number", "_span"))
-    rows = rows.select("document_id", (F.col("_parents") + F.col("_number")).alias("parent_index"), (F.col("_children") + F.col("_number") * full).alias("_first"), part(F.col("text"), F.col("_span")).alias("text"), (F.col("_base") + F.col("_span.start")).alias("start_position"), (F.col("_base") + F.col("_span.end")).alias("end_position"), "section_label", "section_heading")
+    rows = rows.select("document_id", "_base", "_parents", "_children", "section_label", "section_heading", F.posexplode(word_windows(F.col("text"), *parent)).alias("_number", "_span"))
+    rows = rows.select("document_id", (F.col("_parents") + F.col("_number")).alias("parent_index"), (F.col("_children") + F.col("_number") * full).alias("_first"), F.col("_span.text").alias("text"), (F.col("_base") + F.col("_span.start")).alias("start_position"), (F.col("_base") + F.col("_span.end")).alias("end_position"), "section_label", "section_heading")
     named = rows.select(name("parent", F.col("parent_index"), F.col("start_position"), F.col("end_position"), F.lit("")).alias("parent_id"), "document_id", "parent_index", "_first", F.lit(strategy).alias("strategy"), "text", "start_position", "end_position", "section_label", "section_heading")
     inner = named.select("*", F.posexplode(word_windows(F.col("text"), *child)).alias("_number", "_span"))
     start, end = F.col("start_position") + F.col("_span.start"), F.col("start_position") + F.col("_span.end")
-    inner = inner.select("document_id", (F.col("_first") + F.col("_number")).alias("chunk_index"), "strategy", part(F.col("text"), F.col("_span")).alias("text"), start.alias("_start"), end.alias("_end"), "parent_id", F.col("start_position").alias("parent_start_position"), F.col("end_position").alias("parent_end_position"), "section_label", "section_heading")
+    inner = inner.select("document_id", (F.col("_first") + F.col("_number")).alias("chunk_index"), "strategy", F.col("_span.text").alias("text"), start.alias("_start"), end.alias("_end"), "parent_id", F.col("start_position").alias("parent_start_position"), F.col("end_position").alias("parent_end_position"), "section_label", "section_heading")
     children = inner.select(name("child", F.col("chunk_index"), F.col("_start"), F.col("_end"), F.col("parent_id")).alias("chunk_id"), "document_id", "chunk_index", "strategy", "text", F.col("_start").alias("start_position"), F.col("_end").alias("end_position"), "parent_id", "parent_start_position", "parent_end_position", "section_label", "section_heading")
     return named.drop("_first"), children
 
