@@ -142,3 +142,23 @@ def test_relational(spark):
     assert len(kept) == 5 and max([r.g for r in kept].count(g) for g in "g0 g1 g2".split()) <= 2
     assert sum(r["size"] for r in relational.disjoint_split(rows, "g", 20).collect()) == 20
     assert relational.same_rows(rows, rows).count() == 0
+
+
+def test_best_of_blocks_as_all_pairs(spark):
+    """Small blocks give what the scores of all pairs give, and no plan has a row for each pair."""
+    words = "satu dua tiga empat lima".split()
+    own = spark.createDataFrame([(f"c{n}", n % 97, " ".join(words[(n * m) % 5] for m in range(1, 2 + n % 6)) if n % 11 else "") for n in range(97)] + [("none", 97, None)], "chunk_id string, chunk_ord int, text string")
+    asked = spark.createDataFrame([(n, " ".join(words[: 1 + n % 5]) + " satu enam") for n in range(23)] + [(23, "enam"), (24, "")], "query_id int, question string")
+    postings = retrieval.bm25_postings(asked, own)
+    assert postings.count() == 97
+    scores = {}
+    for r in retrieval.bm25_scores(asked, postings).collect():
+        scores.setdefault(r.query_id, []).append((-r.score, r.chunk_ord, r.chunk_id))
+    best = retrieval.bm25_best(asked, postings, 4, block=(5, 13))
+    found = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.chunk_ord, r.chunk_id))
+    assert found == {q: sorted(rows)[:4] for q, rows in scores.items()} and set(found) == set(range(23))
+    assert "functions=[partial_sum" not in best._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.bm25_best(asked, own.where("false"), 4).count() == 0
+    assert retrieval.bm25_best(asked.where("false"), own, 4).count() == 0

@@ -115,9 +115,14 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def spaced(text: Column) -> Column:
+    """Folded runs of letters and digits with one blank between them."""
+    return F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " ")
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits."""
-    return F.filter(F.split(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(spaced(text), " "), lambda t: t != "")
 
 
 def trimmed_span(text: Column, start: Column, end: Column) -> Column:

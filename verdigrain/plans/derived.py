@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigrain.operators import chunking, groundtruth, retrieval
@@ -53,10 +53,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str, k: int = 10, own: DataFrame | None = None, **parameters) -> DataFrame:
     """A BM25 run with documents: query_id, chunk_id, rank, score, document_id. own: postings that exist already."""
-    scores = retrieval.bm25_scores(questions(spark, sf_dir), postings(spark, sf_dir) if own is None else own, **parameters)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_ord")
+    best = retrieval.bm25_best(questions(spark, sf_dir), postings(spark, sf_dir) if own is None else own, k, **parameters)
     # the order column has the document in it: no second look at the chunks
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", "chunk_ord.document_id")
+    return best.select("query_id", "chunk_id", "rank", "score", "chunk_ord.document_id")
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
