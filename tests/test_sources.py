@@ -133,3 +133,18 @@ def test_charts_and_reports(spark):
     assert text.startswith("# Title") and files.CAVEATS["pilot"] in text and "| 1 |" in text
     with pytest.raises(ValueError):
         files.report("Title", "other", {})
+
+
+def test_each_decision_is_parsed_once(spark):
+    """One XPath tells all of a file, no filter repeats it, and no section is shuffled."""
+    from verdigrain.plans import decisions
+
+    xml = '<putusan id="7"><kepala_putusan> putusan\n nomor 7 pid 2019 demi keadilan </kepala_putusan><identitas>a<b>c</b> d</identitas><fakta> </fakta><amar_putusan>z</amar_putusan></putusan>'
+    found = spark.createDataFrame([("a", xml), ("b", '<putusan id="8"/>'), ("c", None)], "source_path string, xml string")
+    rows = files.decision_sections(found)
+    head = "putusan nomor 7 pid 2019 demi keadilan\n\n"
+    told = [(r.document_id, r.section_label, r.start_position, r.end_position, r.section_text) for r in rows.orderBy("start_position").collect()]
+    assert told == [("7", "kepala_putusan", 0, len(head), head), ("7", "identitas_terdakwa", len(head), len(head) + 6, "ac d\n\n"), ("7", "amar_putusan", len(head) + 6, len(head) + 7, "z")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/putusan/@id") == 1 and "Window" not in plan
+    assert decisions.decision_facts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
+from verdigrain.functions.arrays import let
 
 # Where a defendant's name stands, in the order of trust.
 NAME_SOURCES = (
@@ -45,8 +46,11 @@ def identity_context(text: Column) -> Column:
 
 def by_label(sections: DataFrame) -> DataFrame:
     """One row for each document: labels, a map from label to squeezed text (the last section of a label counts)."""
-    each = sections.groupBy("document_id", "section_label").agg(F.max_by("section_text", "start_position").alias("t"), F.min("start_position").alias("p"))
-    return each.groupBy("document_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("p", "section_label", "t"))), lambda s: F.struct(s["section_label"], tx.squeezed(s["t"])))).alias("labels"))
+    own = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_position").alias("p"), "section_label", F.col("section_text").alias("t")))).alias("s"))
+    # texts are grouped once; a label stands where its first section is, with the text of its last
+    labels = F.array_distinct(F.transform("s", lambda x: x["section_label"]))
+    last = lambda label: F.element_at(F.filter("s", lambda x: x["section_label"] == label), -1)["t"]
+    return own.select("document_id", F.map_from_arrays(labels, F.transform(labels, lambda label: tx.squeezed(last(label)))).alias("labels"))
 
 
 def _label(name: str) -> Column:
@@ -56,7 +60,7 @@ def _label(name: str) -> Column:
 def defendant() -> Column:
     """The first plausible name among the sources."""
     found = [F.regexp_replace(group(_label(label), pattern), r"^[0-9 ,;:\-]+|[0-9 ,;:\-]+$", "") for label, pattern in NAME_SOURCES]
-    return F.coalesce(*[F.when(tx.plausible_name(x), x) for x in found], F.lit(""))
+    return F.coalesce(*[let(x, lambda name: F.when(tx.plausible_name(name), name)) for x in found], F.lit(""))
 
 
 def salient_statute(reasoning: Column) -> Column:
@@ -75,7 +79,7 @@ def components(sections: DataFrame) -> DataFrame:
     """document_id, labels, case, defendant, statute, topic, disposition, charge."""
     rows = by_label(sections)
     whole = F.array_join(F.map_values("labels"), " ")
-    first = lambda text, patterns: F.coalesce(*[F.when(group(text, p) != "", group(text, p)) for p in patterns], F.lit(""))
+    first = lambda text, patterns: F.coalesce(*[F.nullif(group(text, p), F.lit("")) for p in patterns], F.lit(""))
     charge = first(_label("riwayat_dakwaan"), CHARGES)
     return rows.select(
         "document_id", "labels", group(_label("kepala_putusan"), CASE).alias("case"), defendant().alias("defendant"), salient_statute(_label("pertimbangan_hukum")).alias("statute"),

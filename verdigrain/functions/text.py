@@ -145,10 +145,13 @@ def head_at_word(text: Column, most: int) -> Column:
     """The squeezed text, cut at the last blank that leaves at most so many characters."""
     if most <= 0:
         raise ValueError("most must be positive")
-    text = squeezed(text)
-    window = F.substring(text, 1, most + 1)
-    cut = F.regexp_extract(window, r"(?s)^(.*) ", 1)
-    return F.when(F.length(text) <= most, text).when(cut == "", _right_trimmed(F.substring(text, 1, most), r"\s")).otherwise(_right_trimmed(cut, " ,;:\\-"))
+
+    def of(text: Column) -> Column:
+        cut = F.regexp_extract(F.substring(text, 1, most + 1), r"(?s)^(.*) ", 1)
+        long = let(cut, lambda c: F.when(c == "", _right_trimmed(F.substring(text, 1, most), r"\s")).otherwise(_right_trimmed(c, " ,;:\\-")))
+        return F.when(F.length(text) <= most, text).otherwise(long)
+
+    return let(squeezed(text), of)
 
 
 def tail_at_word(text: Column, most: int) -> Column:
@@ -198,8 +201,8 @@ def marked_excerpt(text: Column, position: Column, before: int, after: int, mark
 
 def plausible_name(name: Column) -> Column:
     """1 to 12 words without digits, none of which names never have."""
-    words = F.split(squeezed(F.lower(name)), " ")
-    return (squeezed(name) != "") & (F.size(words) <= 12) & ~name.rlike(r"(?U)\d") & ~F.arrays_overlap(words, F.array(*map(F.lit, NOT_NAMES)))
+    said = lambda words: (F.size(words) <= 12) & ~F.arrays_overlap(words, F.array(*map(F.lit, NOT_NAMES)))
+    return (squeezed(name) != "") & ~name.rlike(r"(?U)\d") & let(F.split(squeezed(F.lower(name)), " "), said)
 
 
 def valid_birthplace(place: Column) -> Column:

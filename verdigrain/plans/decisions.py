@@ -14,7 +14,7 @@ from verdigrain.functions import extract
 from verdigrain.functions import text as tx
 from verdigrain.operators import augment, chunking, groundtruth, questions, relational, sections
 from verdigrain.plans.catalogue import register
-from verdigrain.session import stored, table
+from verdigrain.session import spread, stored, table
 from verdigrain.sources import files
 
 FIRST, LAST, PLACES = ("Budi", "Siti", "Agus", "Dewi", "Joko"), ("Santoso", "Wijaya", "Lestari"), ("Jakarta", "Bandung", "Surabaya", "Medan")
@@ -50,7 +50,8 @@ def _filled(wording: str) -> Column:
 
 def decision_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"))
+    # each key becomes a whole decision
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n")), "n")
     name = F.concat_ws(" ", _pick(FIRST, n % 5), _pick(LAST, n % 3))
     return rows.select("n", name.alias("name"), _pick(PLACES, n % 4).alias("place"), F.concat(F.lit(""), (111 + n % 5).cast("string"), F.lit(" ayat "), (1 + n % 2).cast("string")).alias("article"), (2010 + n % 10).alias("year"), (1 + n % 12).alias("term"))
 
@@ -104,7 +105,8 @@ co AS (SELECT *, n || ' pid sus ' || year || ' pn cth' AS case_, 'pasal ' || CAS
 
 def decision_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all decisions, and whether each is a candidate for a held-out set."""
-    rows = files.decision_metadata(decisions(spark, sf_dir))
+    # stored: filters would parse each file again
+    rows = stored(files.decision_metadata(decisions(spark, sf_dir)), "metadata")
     good = relational.holdout_candidates(rows, ["PN Medan"], classification="Pidana", subclassification="narkotika").select("source_path", F.lit(True).alias("candidate"))
     # candidates need text in every section that the layout has; these decisions never have all
     full = relational.holdout_candidates(rows.withColumn("section_lengths", F.map_filter("section_lengths", lambda k, v: k.isin("identitas", "riwayat_dakwaan", "riwayat_tuntutan"))), ["PN Medan"], classification="Pidana", subclassification="narkotika").select("source_path", F.lit(True).alias("candidate"))
@@ -143,7 +145,8 @@ register("decision_fingerprints", decision_fingerprints, f"WITH {SQL_FACTS} SELE
 def decision_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each document, and of each of its sections."""
     rows = extract.hierarchical_contexts(decision_sections(spark, sf_dir))
-    return rows.select("document_id", "document_context", F.explode("section_contexts").alias("section_label", "section_context"))
+    # an inner explode is given a filter on its map's size, which would find all facts again
+    return rows.select("document_id", "document_context", F.explode_outer("section_contexts").alias("section_label", "section_context")).where("section_label IS NOT NULL")
 
 
 _OWN = "CASE section_label WHEN 'identitas_terdakwa' THEN '; identitas terdakwa ' || name WHEN 'riwayat_dakwaan' THEN '; dakwaan ' || (" + sql_head("(charge || ' sebagaimana diatur')", 80) + ") WHEN 'pertimbangan_hukum' THEN '; ketentuan pidana ' || statute WHEN 'amar_putusan' THEN '; ' || disposition WHEN 'riwayat_penahanan' THEN '; penahanan terdakwa ' || name ELSE '' END"

@@ -68,6 +68,11 @@ def dropped_tables(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Narrow rows dealt over all partitions before costly work: a small file is one partition, whatever its rows make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def dealt_by_range(df: DataFrame, *order, held: list[str] | None = None) -> DataFrame:
     """Rows with the number of their range (``_range``) in an order.
 

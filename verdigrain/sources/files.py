@@ -153,8 +153,13 @@ def restored(files: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
     return files.sparkSession.read.parquet(path)
 
 
-def _xml_text(tag: str) -> Column:
-    return tx.squeezed(F.xpath_string("xml", F.lit(f"/putusan/{tag}")))
+#: Parts an XPath: no XML of any version has this character.
+_PART = "\uffff"
+
+
+def _xml_parts(paths: list[str]) -> Column:
+    """The string values of several paths, in order: one XPath for all of them, so that a file is parsed once."""
+    return F.split(F.xpath_string("xml", F.lit(f"concat({f", '{_PART}', ".join(paths)}, '')")), _PART, -1)
 
 
 def read_decisions(spark: SparkSession, root: str) -> DataFrame:
@@ -165,26 +170,33 @@ def read_decisions(spark: SparkSession, root: str) -> DataFrame:
 
 def decision_metadata(decisions: DataFrame) -> DataFrame:
     """Attributes, case number and year of the heading, and each section's length; another root is an error."""
-    attribute = lambda name: F.xpath_string("xml", F.lit(f"/putusan/@{name}"))
-    heading = _xml_text("kepala_putusan")
-    rooted = F.when(F.xpath_boolean("xml", F.lit("boolean(/putusan)")), F.col("source_path")).otherwise(F.raise_error(F.concat(F.lit("not a decision: "), F.col("source_path"))))
-    lengths = F.map_from_arrays(F.array(*map(F.lit, XML_TAGS)), F.array(*[F.length(_xml_text(t)) for t in XML_TAGS]))
-    return decisions.select(
-        rooted.alias("source_path"), attribute("id").alias("source_id"), attribute("url").alias("source_url"), attribute("klasifikasi").alias("classification"), attribute("sub_klasifikasi").alias("subclassification"), attribute("lembaga_peradilan").alias("court"),
-        attribute("provinsi").alias("province"), case_number(heading).alias("case_number_normalized"), case_year(heading).alias("case_year"), lengths.alias("section_lengths"),
-    )
+    attributes = {"source_id": "id", "source_url": "url", "classification": "klasifikasi", "subclassification": "sub_klasifikasi", "court": "lembaga_peradilan", "province": "provinsi"}
+    rows = decisions.select("source_path", _xml_parts(["boolean(/putusan)", *[f"/putusan/@{a}" for a in attributes.values()], *[f"/putusan/{t}" for t in XML_TAGS]]).alias("p"))
+    values = {name: F.get("p", F.lit(i)).alias(name) for i, name in enumerate(attributes, 1)}
+    texts = F.transform(F.slice("p", len(attributes) + 2, len(XML_TAGS)), tx.squeezed)
+    rows = rows.select("source_path", F.get("p", F.lit(0)).alias("rooted"), *values.values(), texts.alias("t"))
+    heading = F.get("t", F.lit(XML_TAGS.index("kepala_putusan")))
+    rooted = F.when(F.col("rooted") == "true", F.col("source_path")).otherwise(F.raise_error(F.concat(F.lit("not a decision: "), F.col("source_path"))))
+    lengths = F.map_from_arrays(F.array(*map(F.lit, XML_TAGS)), F.transform("t", F.length))
+    return rows.select(rooted.alias("source_path"), *attributes, case_number(heading).alias("case_number_normalized"), case_year(heading).alias("case_year"), lengths.alias("section_lengths"))
 
 
 def decision_sections(decisions: DataFrame, key: Column | None = None) -> DataFrame:
-    """document_id and its sections in the order of the tags: squeezed, empty ones dropped, joined by empty lines, with offsets."""
-    key = F.xpath_string("xml", F.lit("/putusan/@id")) if key is None else key
-    parts = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(XML_LABELS.get(t, t)).alias("label"), _xml_text(t).alias("t")) for i, t in enumerate(XML_TAGS)]), lambda p: p["t"] != "")
-    rows = decisions.select(key.alias("document_id"), parts.alias("p"))
-    each = rows.select("document_id", F.size("p").alias("n"), F.posexplode("p").alias("i", "s"))
-    text = F.when(F.col("i") < F.col("n") - 1, F.concat("s.t", F.lit("\n\n"))).otherwise(F.col("s.t"))
-    order = Window.partitionBy("document_id").orderBy("i")
-    before = F.coalesce(F.sum(F.length(text)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    return each.select("document_id", F.col("s.label").alias("section_label"), F.lit(None).cast("string").alias("section_heading"), before.alias("start_position"), (before + F.length(text)).alias("end_position"), text.alias("section_text"))
+    """document_id and its sections in the order of the tags: squeezed, empty ones dropped, joined by empty lines, with offsets.
+
+    A file's sections are found in its own row: nothing is shuffled.
+    """
+    rows = decisions.select((F.lit(None) if key is None else key).alias("key"), _xml_parts(["/putusan/@id", *[f"/putusan/{t}" for t in XML_TAGS]]).alias("p"))
+    labels = F.array(*[F.lit(XML_LABELS.get(t, t)) for t in XML_TAGS])
+    parts = F.filter(F.zip_with(labels, F.transform(F.slice("p", 2, len(XML_TAGS)), tx.squeezed), lambda label, t: F.struct(label.alias("label"), t.alias("t"))), lambda s: s["t"] != "")
+    rows = rows.select((F.get("p", F.lit(0)) if key is None else F.col("key")).alias("document_id"), parts.alias("s"))
+    # all but the last section end in an empty line
+    texts = F.transform("s", lambda s, i: F.when(i < F.size("s") - 1, F.concat(s["t"], F.lit("\n\n"))).otherwise(s["t"]))
+    each = rows.select("document_id", "s", texts.alias("x")).select("document_id", "s", "x", F.transform("x", lambda x: F.length(x).cast("bigint")).alias("n"))
+    before = lambda i: F.aggregate(F.slice("n", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    told = F.transform("x", lambda x, i: F.struct(F.get("s", i)["label"].alias("label"), before(i).alias("start"), before(i + 1).alias("end"), x.alias("text")))
+    # an inner explode is given a filter on its array's size, which would parse each file again
+    return each.select("document_id", F.explode_outer(told).alias("s")).where("s IS NOT NULL").select("document_id", F.col("s.label").alias("section_label"), F.lit(None).cast("string").alias("section_heading"), F.col("s.start").alias("start_position"), F.col("s.end").alias("end_position"), F.col("s.text").alias("section_text"))
 
 
 def html_sections(pages: DataFrame) -> DataFrame:
