@@ -195,7 +195,7 @@ def decision_sections(decisions: DataFrame, key: Column | None = None) -> DataFr
     each = rows.select("document_id", "s", texts.alias("x")).select("document_id", "s", "x", F.transform("x", lambda x: F.length(x).cast("bigint")).alias("n"))
     before = lambda i: F.aggregate(F.slice("n", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, n: a + n)
     told = F.transform("x", lambda x, i: F.struct(F.get("s", i)["label"].alias("label"), before(i).alias("start"), before(i + 1).alias("end"), x.alias("text")))
-    # an inner explode is given a filter on its array's size, which would parse each file again
+    # outer, so that no filter on the array's size is inferred, which could parse each file again
     return each.select("document_id", F.explode_outer(told).alias("s")).where("s IS NOT NULL").select("document_id", F.col("s.label").alias("section_label"), F.lit(None).cast("string").alias("section_heading"), F.col("s.start").alias("start_position"), F.col("s.end").alias("end_position"), F.col("s.text").alias("section_text"))
 
 
