@@ -44,7 +44,8 @@ def _filled(wording: str) -> Column:
     """A wording with its facts put in."""
     out = F.lit(wording)
     for fact in ("n", "year", "name", "place", "article", "term"):
-        out = F.replace(out, F.lit("{" + fact + "}"), F.col(fact).cast("string"))
+        if "{" + fact + "}" in wording:
+            out = F.replace(out, F.lit("{" + fact + "}"), F.col(fact).cast("string"))
     return out
 
 
@@ -68,6 +69,11 @@ def decision_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(files.decision_sections(decisions(spark, sf_dir)), "sections")
 
 
+def decision_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each decision in one row, for queries that read them once."""
+    return files.decision_parts(decisions(spark, sf_dir))
+
+
 def _texts(own: DataFrame) -> DataFrame:
     """The whole texts that sections make up."""
     return own.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_position", "section_text"))), lambda s: s["section_text"]), "").alias("text"))
@@ -121,7 +127,7 @@ CAST(CASE WHEN n BETWEEN 1900 AND 2099 THEN n ELSE year END AS BIGINT) AS case_y
 
 
 def decision_section_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision_sections(spark, sf_dir).select("document_id", "section_label", "start_position", "end_position", F.md5(F.col("section_text").cast("binary")).alias("text_md5"))
+    return files.decision_sections(decisions(spark, sf_dir)).select("document_id", "section_label", "start_position", "end_position", F.md5(F.col("section_text").cast("binary")).alias("text_md5"))
 
 
 register("decision_sections", decision_section_offsets, f"WITH {SQL_FACTS} SELECT document_id, section_label, start_position, end_position, md5(section_text) AS text_md5 FROM sec")

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Any
+from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,9 +159,61 @@ def restored(files: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
 _PART = "\uffff"
 
 
-def _xml_parts(paths: list[str]) -> Column:
-    """The string values of several paths, in order: one XPath for all of them, so that a file is parsed once."""
-    return F.split(F.xpath_string("xml", F.lit(f"concat({f", '{_PART}', ".join(paths)}, '')")), _PART, -1)
+def _parsed(xml: bytes, attributes: list[str]) -> list[str] | None:
+    """The root's name, its attributes, and the squeezed text of the first element of each section tag in it.
+
+    None for what is left to XPath: no XML to expat, or with a document type or byte-order mark, which it takes otherwise.
+    """
+    if xml[:3] == b"\xef\xbb\xbf" or b"<!DOCTYPE" in xml:
+        return None
+    path, root, texts, open_ = [], [], {}, []
+
+    def begin(name: str, own: dict[str, str]) -> None:
+        if not path:
+            root.append((name, own))
+        elif len(path) == 1 and name in XML_PLACES and name not in texts and path[0] == "putusan":
+            open_.append(texts.setdefault(name, []))
+        path.append(name)
+
+    def end(name: str) -> None:
+        path.pop()
+        if len(path) == 1:
+            open_.clear()
+
+    def said(text: str) -> None:
+        if open_:
+            open_[0].append(text)
+
+    parser = expat.ParserCreate("utf-8")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, end, said
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError:
+        return None
+    name, own = root[0]
+    # white space of Unicode; the four controls that only Python counts as such are in no XML 1.0
+    return [name, *[own.get(a, "") if name == "putusan" else "" for a in attributes], *[" ".join("".join(texts.get(t, ())).split()) for t in XML_TAGS]]
+
+
+XML_PLACES = frozenset(XML_TAGS)
+
+
+def _xml_parts(attributes: list[str]) -> Column:
+    """The root's name (any but putusan may be empty), the attributes as they stand and the squeezed texts of all section tags, each file parsed once.
+
+    expat takes a small part of the time of an XPath; files that it can't take go to one XPath for all parts, which says what is wrong with them.
+    """
+
+    @F.arrow_udf("array<string>")
+    def parsed(xml: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _parsed(x, attributes) for x in xml.to_pylist()], pa.list_(pa.string()))
+
+    paths = ["name(/putusan)", *[f"/putusan/@{a}" for a in attributes], *[f"/putusan/{t}" for t in XML_TAGS]]
+    whole = F.split(F.xpath_string("xml", F.lit(f"concat({f", '{_PART}', ".join(paths)}, '')")), _PART, -1)
+    rest = F.transform(whole, lambda t, i: F.when(i > len(attributes), tx.squeezed(t)).otherwise(t))
+    # a filter on a part would be moved below the function, and run it again
+    return F.coalesce(parsed.asNondeterministic()(F.col("xml").cast("binary")), rest)
 
 
 def read_decisions(spark: SparkSession, root: str) -> DataFrame:
@@ -171,32 +225,56 @@ def read_decisions(spark: SparkSession, root: str) -> DataFrame:
 def decision_metadata(decisions: DataFrame) -> DataFrame:
     """Attributes, case number and year of the heading, and each section's length; another root is an error."""
     attributes = {"source_id": "id", "source_url": "url", "classification": "klasifikasi", "subclassification": "sub_klasifikasi", "court": "lembaga_peradilan", "province": "provinsi"}
-    rows = decisions.select("source_path", _xml_parts(["boolean(/putusan)", *[f"/putusan/@{a}" for a in attributes.values()], *[f"/putusan/{t}" for t in XML_TAGS]]).alias("p"))
+    on_workers(decisions.sparkSession)
+    rows = decisions.select("source_path", _xml_parts([*attributes.values()]).alias("p"))
     values = {name: F.get("p", F.lit(i)).alias(name) for i, name in enumerate(attributes, 1)}
-    texts = F.transform(F.slice("p", len(attributes) + 2, len(XML_TAGS)), tx.squeezed)
+    texts = F.slice("p", len(attributes) + 2, len(XML_TAGS))
     rows = rows.select("source_path", F.get("p", F.lit(0)).alias("rooted"), *values.values(), texts.alias("t"))
     heading = F.get("t", F.lit(XML_TAGS.index("kepala_putusan")))
-    rooted = F.when(F.col("rooted") == "true", F.col("source_path")).otherwise(F.raise_error(F.concat(F.lit("not a decision: "), F.col("source_path"))))
+    rooted = F.when(F.col("rooted") == "putusan", F.col("source_path")).otherwise(F.raise_error(F.concat(F.lit("not a decision: "), F.col("source_path"))))
     lengths = F.map_from_arrays(F.array(*map(F.lit, XML_TAGS)), F.transform("t", F.length))
     return rows.select(rooted.alias("source_path"), *attributes, case_number(heading).alias("case_number_normalized"), case_year(heading).alias("case_year"), lengths.alias("section_lengths"))
 
 
+def decision_parts(decisions: DataFrame, key: Column | None = None) -> DataFrame:
+    """document_id and `sections`, an array of each file's sections as decision_sections has them: one row a file, which nothing has to group again."""
+    on_workers(decisions.sparkSession)
+    labels = [XML_LABELS.get(t, t) for t in XML_TAGS]
+    rows = decisions.select((F.lit(None) if key is None else key).alias("key"), _xml_parts(["id"]).alias("p"))
+
+    @F.arrow_udf("array<struct<section_label:string,start_position:bigint,end_position:bigint,section_text:string>>")
+    def cut(parts: pa.Array) -> pa.Array:
+        offsets, told, starts, ends, texts = [0], [], [], [], []
+        for own in parts.to_pylist():
+            at, first = 0, len(told)
+            for label, text in zip(labels, own[2:] if own else (), strict=False):
+                if text:
+                    # all but the last section end in an empty line
+                    if len(told) > first:
+                        texts[-1] += "\n\n"
+                        at += 2
+                        ends[-1] = at
+                    told.append(label)
+                    starts.append(at)
+                    at += len(text)
+                    ends.append(at)
+                    texts.append(text)
+            offsets.append(len(told))
+        columns = [pa.array(told, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["section_label", "start_position", "end_position", "section_text"]))
+
+    # a filter on the sections would be moved below the function, and run it again
+    return rows.select((F.get("p", F.lit(1)) if key is None else F.col("key")).alias("document_id"), cut.asNondeterministic()("p").alias("sections"))
+
+
 def decision_sections(decisions: DataFrame, key: Column | None = None) -> DataFrame:
     """document_id and its sections in the order of the tags: squeezed, empty ones dropped, joined by empty lines, with offsets.
 
     A file's sections are found in its own row: nothing is shuffled.
     """
-    rows = decisions.select((F.lit(None) if key is None else key).alias("key"), _xml_parts(["/putusan/@id", *[f"/putusan/{t}" for t in XML_TAGS]]).alias("p"))
-    labels = F.array(*[F.lit(XML_LABELS.get(t, t)) for t in XML_TAGS])
-    parts = F.filter(F.zip_with(labels, F.transform(F.slice("p", 2, len(XML_TAGS)), tx.squeezed), lambda label, t: F.struct(label.alias("label"), t.alias("t"))), lambda s: s["t"] != "")
-    rows = rows.select((F.get("p", F.lit(0)) if key is None else F.col("key")).alias("document_id"), parts.alias("s"))
-    # all but the last section end in an empty line
-    texts = F.transform("s", lambda s, i: F.when(i < F.size("s") - 1, F.concat(s["t"], F.lit("\n\n"))).otherwise(s["t"]))
-    each = rows.select("document_id", "s", texts.alias("x")).select("document_id", "s", "x", F.transform("x", lambda x: F.length(x).cast("bigint")).alias("n"))
-    before = lambda i: F.aggregate(F.slice("n", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    told = F.transform("x", lambda x, i: F.struct(F.get("s", i)["label"].alias("label"), before(i).alias("start"), before(i + 1).alias("end"), x.alias("text")))
     # outer, so that no filter on the array's size is inferred, which could parse each file again
-    return each.select("document_id", F.explode_outer(told).alias("s")).where("s IS NOT NULL").select("document_id", F.col("s.label").alias("section_label"), F.lit(None).cast("string").alias("section_heading"), F.col("s.start").alias("start_position"), F.col("s.end").alias("end_position"), F.col("s.text").alias("section_text"))
+    each = decision_parts(decisions, key).select("document_id", F.explode_outer("sections").alias("s")).where("s IS NOT NULL")
+    return each.select("document_id", "s.section_label", F.lit(None).cast("string").alias("section_heading"), "s.start_position", "s.end_position", "s.section_text")
 
 
 def html_sections(pages: DataFrame) -> DataFrame:
