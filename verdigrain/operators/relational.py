@@ -59,10 +59,15 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def holdout_candidate(excluded_courts: list[str], *, classification: str, subclassification: str, lengths: Column | None = None) -> Column:
+    """Whether a record is of one class from a court not yet used, with an address, a year and no empty section (lengths: those of other sections)."""
+    full = F.forall(F.map_values(F.col("section_lengths") if lengths is None else lengths), lambda n: n > 0)
+    return (F.lower("classification") == classification.lower()) & (F.lower("subclassification") == subclassification.lower()) & ~F.col("court").isin(excluded_courts) & (F.coalesce("source_url", F.lit("")) != "") & F.col("case_year").isNotNull() & full
+
+
 def holdout_candidates(manifest: DataFrame, excluded_courts: list[str], *, classification: str, subclassification: str) -> DataFrame:
     """Records of one class from courts not yet used, with an address, a year and no empty section."""
-    full = F.forall(F.map_values("section_lengths"), lambda n: n > 0)
-    return manifest.where((F.lower("classification") == classification.lower()) & (F.lower("subclassification") == subclassification.lower()) & ~F.col("court").isin(excluded_courts) & (F.coalesce("source_url", F.lit("")) != "") & F.col("case_year").isNotNull() & full)
+    return manifest.where(holdout_candidate(excluded_courts, classification=classification, subclassification=subclassification))
 
 
 def unapproved(questions: DataFrame) -> DataFrame:

@@ -111,14 +111,12 @@ co AS (SELECT *, n || ' pid sus ' || year || ' pn cth' AS case_, 'pasal ' || CAS
 
 def decision_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all decisions, and whether each is a candidate for a held-out set."""
-    # stored: filters would parse each file again
-    rows = stored(files.decision_metadata(decisions(spark, sf_dir)), "metadata")
-    good = relational.holdout_candidates(rows, ["PN Medan"], classification="Pidana", subclassification="narkotika").select("source_path", F.lit(True).alias("candidate"))
+    rows = files.decision_metadata(decisions(spark, sf_dir))
+    wanted = lambda lengths=None: F.coalesce(relational.holdout_candidate(["PN Medan"], classification="Pidana", subclassification="narkotika", lengths=lengths), F.lit(False))
     # candidates need text in every section that the layout has; these decisions never have all
-    full = relational.holdout_candidates(rows.withColumn("section_lengths", F.map_filter("section_lengths", lambda k, v: k.isin("identitas", "riwayat_dakwaan", "riwayat_tuntutan"))), ["PN Medan"], classification="Pidana", subclassification="narkotika").select("source_path", F.lit(True).alias("candidate"))
+    some = F.map_filter("section_lengths", lambda k, v: k.isin("identitas", "riwayat_dakwaan", "riwayat_tuntutan"))
     total = F.aggregate(F.map_values("section_lengths"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    met = rows.join(full, "source_path", "left").join(good.withColumnRenamed("candidate", "strict"), "source_path", "left")
-    return met.select("source_path", "source_id", "classification", "subclassification", "court", "province", "case_number_normalized", F.col("case_year").cast("bigint").alias("case_year"), total.alias("chars"), F.coalesce("candidate", F.lit(False)).alias("candidate"), F.coalesce("strict", F.lit(False)).alias("strict"))
+    return rows.select("source_path", "source_id", "classification", "subclassification", "court", "province", "case_number_normalized", F.col("case_year").cast("bigint").alias("case_year"), total.alias("chars"), wanted(some).alias("candidate"), wanted().alias("strict"))
 
 
 register("decision_metadata", decision_metadata, f"""WITH {SQL_FACTS}, le AS (SELECT n, sum(length(t)) AS chars FROM sr GROUP BY 1)
