@@ -44,13 +44,23 @@ def identity_context(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def by_document(sections: DataFrame) -> DataFrame:
+    """One row for each document: `s`, an array of its sections (p, section_label, t) by their start.
+
+    A table that has one row for each document and its `sections` as an array is taken as it is; documents without any are left out.
+    """
+    told = lambda x: F.struct(x["start_position"].alias("p"), x["section_label"].alias("section_label"), x["section_text"].alias("t"))
+    if "sections" in sections.columns:
+        return sections.select("document_id", F.transform("sections", told).alias("s")).where("size(s) > 0")
+    return sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_position").alias("p"), "section_label", F.col("section_text").alias("t")))).alias("s"))
+
+
 def by_label(sections: DataFrame) -> DataFrame:
     """One row for each document: labels, a map from label to squeezed text (the last section of a label counts)."""
-    own = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_position").alias("p"), "section_label", F.col("section_text").alias("t")))).alias("s"))
     # texts are grouped once; a label stands where its first section is, with the text of its last
     labels = F.array_distinct(F.transform("s", lambda x: x["section_label"]))
     last = lambda label: F.element_at(F.filter("s", lambda x: x["section_label"] == label), -1)["t"]
-    return own.select("document_id", F.map_from_arrays(labels, F.transform(labels, lambda label: tx.squeezed(last(label)))).alias("labels"))
+    return by_document(sections).select("document_id", F.map_from_arrays(labels, F.transform(labels, lambda label: tx.squeezed(last(label)))).alias("labels"))
 
 
 def _label(name: str) -> Column:

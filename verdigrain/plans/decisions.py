@@ -132,7 +132,7 @@ register("decision_sections", decision_section_offsets, f"WITH {SQL_FACTS} SELEC
 
 
 def decision_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.components(decision_sections(spark, sf_dir)).drop("labels")
+    return extract.components(decision_parts(spark, sf_dir)).drop("labels")
 
 
 register("decision_components", decision_components, f"WITH {SQL_FACTS} SELECT doc AS document_id, case_ AS \"case\", name AS defendant, statute, 'narkotika' AS topic, disposition, {sql_head('(charge || ' + chr(39) + ' sebagaimana diatur' + chr(39) + ')', 80)} AS charge FROM co")
