@@ -139,7 +139,7 @@ register("decision_components", decision_components, f"WITH {SQL_FACTS} SELECT d
 
 
 def decision_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.fingerprints(decision_sections(spark, sf_dir))
+    return extract.fingerprints(decision_parts(spark, sf_dir))
 
 
 _FINGERPRINT = f"('perkara ' || case_ || '; terdakwa ' || name || '; ' || statute || '; perkara narkotika; ' || {sql_head('disposition', 70)})"
