@@ -148,3 +148,37 @@ def test_each_decision_is_parsed_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("/putusan/@id") == 1 and "Window" not in plan
     assert decisions.decision_facts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_decisions_of_any_xml(spark):
+    """What expat doesn't take goes to XPath: a document type's entities, and errors; a comment, CDATA and another root are told alike."""
+    deep = '<putusan id="a&amp;b"><fakta>x<!-- no -->\u00a0 <![CDATA[<y>]]></fakta><fakta>second</fakta><b><penutup>inner</penutup></b></putusan>'
+    typed = '<!DOCTYPE putusan [<!ENTITY e "  from  entity ">]><putusan id="2"><fakta>&e;</fakta></putusan>'
+    found = spark.createDataFrame([("a", deep), ("b", typed), ("c", "<other><fakta>no</fakta></other>"), ("d", None)], "source_path string, xml string")
+    told = [(r.document_id, r.section_label, r.start_position, r.end_position, r.section_text) for r in files.decision_sections(found).collect()]
+    assert told == [("a&b", "fakta", 0, 5, "x <y>"), ("2", "fakta", 0, 11, "from entity")]
+    plan = files.decision_sections(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parsed(") == 1
+    assert files.decision_metadata(found.where("source_path = 'b'")).first().section_lengths["fakta"] == 11
+    with pytest.raises(Exception, match="not a decision"):
+        files.decision_metadata(found.where("source_path = 'c'")).collect()
+    with pytest.raises(Exception, match="(?i)xml"):
+        files.decision_sections(spark.createDataFrame([("e", "<putusan><fakta></putusan>")], "source_path string, xml string")).collect()
+
+
+def test_documents_of_one_row(spark):
+    """One row for each document with its sections as an array says the same as a row for each section, repeated labels too."""
+    from verdigrain.functions import extract
+    from verdigrain.operators import questions
+    from verdigrain.plans import decisions
+
+    sf = "/root/testdata/sf0.001"
+    rows, own = decisions.decision_sections(spark, sf), decisions.decision_parts(spark, sf)
+    for made in (extract.fingerprints, questions.question_slots, lambda df: extract.components(df).drop("labels"), lambda df: questions.questions_v2(df, "q")[0]):
+        a, b = sorted(map(tuple, made(rows).collect()), key=str), sorted(map(tuple, made(own).collect()), key=str)
+        assert a and a == b
+    plan = extract.components(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("parsed(") == 1
+    twice = spark.createDataFrame([(1, "fakta", "a", 0), (1, "fakta", "b", 1), (2, "amar_putusan", "c", 0)], "document_id bigint, section_label string, section_text string, start_position bigint")
+    assert {(r.document_id, r.labels.get("fakta")) for r in extract.by_label(twice).collect()} == {(1, "b"), (2, None)}
+    assert {(r.document_id, tuple(r.texts.items())) for r in questions._evidence(twice, questions.RULES).collect()} == {(1, (("fakta", "b"),)), (2, (("amar_putusan", "c"),))}

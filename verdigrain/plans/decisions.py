@@ -183,7 +183,7 @@ qu AS (SELECT ev.n, ev.family, sec.document_id, replace(question, '{name}', name
 
 
 def decision_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = questions.questions_v2(decision_sections(spark, sf_dir), "dev")[0]
+    out = questions.questions_v2(stored(decision_parts(spark, sf_dir), "sections"), "dev")[0]
     return out.select("query_id", "document_id", "question", "reference_answer", "evidence_start", "evidence_end", "difficulty", "target_section_label", "query_anchor_scope", "quality_flags")
 
 
@@ -192,7 +192,7 @@ SELECT 'dev-' || CASE WHEN place_ < 1000 THEN lpad(CAST(place_ AS VARCHAR), 3, '
 
 
 def decision_question_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.questions_v2(decision_sections(spark, sf_dir), "dev")[1]
+    return questions.questions_v2(stored(decision_parts(spark, sf_dir), "sections"), "dev")[1]
 
 
 register("decision_question_failures", decision_question_failures, f"WITH {SQL_FACTS} SELECT doc AS document_id, 'birthplace' AS question_type FROM fa WHERE n % 7 = 3")
