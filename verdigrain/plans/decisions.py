@@ -199,7 +199,7 @@ register("decision_question_failures", decision_question_failures, f"WITH {SQL_F
 
 
 def decision_questions_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = questions.questions_v1(decision_sections(spark, sf_dir), "q")[0]
+    out = questions.questions_v1(stored(decision_parts(spark, sf_dir), "sections"), "q")[0]
     return out.select("query_id", "document_id", "question", "reference_answer", "evidence_start", "evidence_end", "review_status")
 
 
