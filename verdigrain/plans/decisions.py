@@ -208,7 +208,7 @@ SELECT 'q-' || CASE WHEN place_ < 1000 THEN lpad(CAST(place_ AS VARCHAR), 3, '0'
 
 
 def decision_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.question_slots(decision_sections(spark, sf_dir))
+    return questions.question_slots(decision_parts(spark, sf_dir))
 
 
 register("decision_slots", decision_slots, f"""WITH {SQL_FACTS}, pl AS (SELECT n, doc, row_number() OVER (ORDER BY doc) AS p FROM fa),
