@@ -119,3 +119,55 @@ def test_icc_of_every_order(spark):
         x = np.array(own)
         b, w = n * x.mean(1).var(ddof=1), ((x - x.mean(1, keepdims=True)) ** 2).sum() / (len(x) * (n - 1))
         assert found[n].icc == pytest.approx(min(1, max(0, (b - w) / (b + (n - 1) * w))), abs=1e-6)
+
+
+def test_mentions_as_brute_force(spark):
+    """Each question's first place in each text, of questions of any length, over texts that are null, empty or hold part of it."""
+    from verdigrain.operators import groundtruth
+
+    asked = [(1, "satu dua tiga empat"), (2, "dua"), (3, "lain sama  sekali ya"), (4, None), (5, "satu dua"), (6, "é dua tiga x")]
+    texts = [(1, "nol satu dua tiga empat satu dua tiga empat"), (2, None), (3, ""), (4, "xdua"), (5, "a lain sama  sekali yang"), (6, "satu  dua tiga empat"), (7, "😀 é dua tiga x"), (8, "tidak ada")]
+    found = groundtruth.mentions(spark.createDataFrame(asked, "query_id bigint, question string"), spark.createDataFrame(texts, "document_id bigint, text string"))
+    told = {(r.document_id, e.query_id, e.evidence_start, e.evidence_end) for r in found.collect() for e in r.found}
+    assert told == {(d, q, t.find(a), t.find(a) + len(a)) for d, t in texts for q, a in asked if t is not None and a is not None and a in t} and len(told) == 8
+    assert {(r.document_id, r.text) for r in found.collect()} == {(d, t) for d, t in texts if d in {x[0] for x in told}}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scanned_as_blocks(spark):
+    """The best of each task are the best of all, with ties over batches, any number of queries, and where the weights are too many to hold."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    own = spark.createDataFrame([(f"c{n:03}", (n % 7, n), " ".join(rng.choice(words, rng.integers(1, 5)))) for n in range(300)], "chunk_id string, chunk_ord struct<d:int,i:int>, text string").repartition(3)
+    asked = spark.createDataFrame([(n, " ".join(rng.choice([*words, "none"], 3))) for n in range(17)], "query_id bigint, question string")
+    postings = retrieval.bm25_postings(asked, own)
+    told = lambda df: sorted((r.query_id, r.rank, r.chunk_id, tuple(r.chunk_ord), r.score) for r in df.collect())
+    expected = told(retrieval.bm25_best(asked, postings, 4))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        scanned = retrieval.bm25_scanned(asked, postings, 4, block=5)
+        assert len(expected) > 60 and told(scanned) == expected
+        plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" not in plan and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert told(retrieval.bm25_scanned(asked, postings, 4, most=3)) == expected
+    assert retrieval.bm25_scanned(asked, own.where("false"), 4).count() == 0 and retrieval.bm25_scanned(asked.where("false"), own, 4).count() == 0
+
+
+def test_contexts_and_comparisons_leave_little(spark):
+    """Postings are deleted once runs are stored, and no text is shuffled for evidence or contexts."""
+    from pathlib import Path
+
+    from verdigrain.plans import comparison_queries, derived
+    from verdigrain.session import shared_dir
+
+    there = set(Path(shared_dir(spark)).iterdir())
+    run = derived.run(spark, SF)
+    plan = derived.found_chunks(spark, SF, run)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    for query in (retrieval_queries.context_delivery, comparison_queries.comparison_by_stratum):
+        assert query(spark, SF).collect()
+    made = [p.name for p in set(Path(shared_dir(spark)).iterdir()) - there]
+    assert made and not [name for name in made if name.startswith(("bm25-postings", "mentions"))]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigrain.functions import text as tx
+from verdigrain.session import on_workers
 
 # States of a question, and answers that are only a field's name.
 STATUSES = ("draft", "reviewed", "approved", "rejected")
@@ -17,6 +21,46 @@ def _overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}.document_id") == F.col(f"{b}.document_id")) & (F.col(f"{a}.start_position") < F.col(f"{b}.evidence_end")) & (F.col(f"{b}.evidence_start") < F.col(f"{a}.end_position"))
 
 
+def mentions(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, text, found of the documents that hold a question verbatim: found has query_id, evidence_start, evidence_end of each question's first place.
+
+    One pass over the texts, which stay in their tasks: nothing is shuffled. A text that holds a question
+    holds its inner words between blanks; the longest of them tells which questions to look for. A question
+    of one or two words is looked for in all texts. The driver holds the questions.
+    """
+    on_workers(documents.sparkSession)
+    kinds = dict(questions.dtypes) | dict(documents.dtypes)
+    known = documents.sparkSession.sparkContext.broadcast(questions.where("question IS NOT NULL").select("query_id", "question").toArrow().combine_chunks())
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = known.value["question"].to_pylist()
+        always, by_word = [], {}
+        for q, question in enumerate(asked):
+            inner = question.split()[1:-1]
+            (by_word.setdefault(max(inner, key=len), []) if inner else always).append(q)
+        ids = known.value["query_id"].combine_chunks() if asked else None
+        for batch in batches:
+            rows, ends, which, starts, stops = [], [0], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                for q in [*always, *(q for word in by_word.keys() & set(text.split()) for q in by_word[word])]:
+                    at = text.find(asked[q])
+                    if at >= 0:
+                        which.append(q)
+                        starts.append(at)
+                        stops.append(at + len(asked[q]))
+                if len(which) > ends[-1]:
+                    rows.append(row)
+                    ends.append(len(which))
+            if rows:
+                spans = pa.StructArray.from_arrays([ids.take(pa.array(which, pa.int64())), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["query_id", "evidence_start", "evidence_end"])
+                own = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], names=["document_id", "text", "found"])
+
+    return documents.select("document_id", "text").mapInArrow(held, f"document_id {kinds['document_id']}, text string, found array<struct<query_id:{kinds['query_id']},evidence_start:bigint,evidence_end:bigint>>")
+
+
 def qrel_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every chunk that overlaps a question's evidence: coverage, and grade 2 if it holds all of it, else 1.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigrain.operators import chunking, groundtruth, retrieval
-from verdigrain.session import stored, table
+from verdigrain.session import dropped_tables, stored, table
 
 WORDS, OVERLAP = 150, 30
 
@@ -28,39 +28,46 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(chunking.fixed_chunks(documents(spark, sf_dir), WORDS, OVERLAP))
 
 
+def _told(mentions: DataFrame) -> DataFrame:
+    return mentions.select("document_id", F.explode("found").alias("e")).select("e.query_id", "document_id", "e.evidence_start", "e.evidence_end")
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, document_id, evidence_start, evidence_end of the first verbatim mention of each question in each document.
+    """query_id, document_id, evidence_start, evidence_end of the first verbatim mention of each question in each document, stored."""
+    return stored(_told(groundtruth.mentions(questions(spark, sf_dir), documents(spark, sf_dir))), "evidence")
 
-    A text that holds a question holds its inner words between blanks; the longest of them finds the
-    documents to look at by an equi-join of ids, and only those documents' texts are searched. A question
-    of one or two words is searched in all texts.
-    """
-    inner = F.slice(F.split("question", r"\s+"), F.lit(2), F.greatest(F.lit(0), F.size(F.split("question", r"\s+")) - 2))
-    asked = questions(spark, sf_dir).withColumn("_w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    docs = documents(spark, sf_dir)
-    keys = docs.select("document_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_w"))
-    pairs = keys.join(asked.where("_w IS NOT NULL"), "_w").select("document_id", "query_id", "question").distinct()
-    by_word = docs.join(pairs, "document_id").select("query_id", "document_id", "question", "text")
-    short = docs.join(asked.where("_w IS NULL"), F.expr("instr(text, question) > 0")).select(*by_word.columns)
-    at = F.expr("instr(text, question)")
-    return by_word.unionByName(short).withColumn("_at", at).where("_at > 0").select("query_id", "document_id", (F.col("_at") - 1).cast("bigint").alias("evidence_start"), (F.col("_at") - 1 + F.length("question")).cast("bigint").alias("evidence_end"))
-
-
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def postings(spark: SparkSession, sf_dir: str, held: list[str] | None = None) -> DataFrame:
     """The chunks' postings for all questions, stored: runs of any settings share them."""
-    return retrieval.bm25_postings(questions(spark, sf_dir), chunks(spark, sf_dir))
+    return retrieval.bm25_postings(questions(spark, sf_dir), chunks(spark, sf_dir), held)
 
 
 def run(spark: SparkSession, sf_dir: str, k: int = 10, own: DataFrame | None = None, **parameters) -> DataFrame:
-    """A BM25 run with documents: query_id, chunk_id, rank, score, document_id. own: postings that exist already."""
-    best = retrieval.bm25_best(questions(spark, sf_dir), postings(spark, sf_dir) if own is None else own, k, **parameters)
+    """A BM25 run with documents: query_id, chunk_id, rank, score, document_id. own: postings that exist already.
+
+    Stored: k rows for each question, which metrics read several times; postings made for it alone are deleted.
+    """
+    held: list[str] = []
+    best = retrieval.bm25_scanned(questions(spark, sf_dir), postings(spark, sf_dir, held) if own is None else own, k, **parameters)
     # the order column has the document in it: no second look at the chunks
-    return best.select("query_id", "chunk_id", "rank", "score", "chunk_ord.document_id")
+    found = stored(best.select("query_id", "chunk_id", "rank", "score", "chunk_ord.document_id"), "run")
+    dropped_tables(spark, held)
+    return found
+
+
+def found_chunks(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """The chunks of the documents in a run: only those texts are cut. Ids are stored, so that Spark knows how few they are."""
+    ids = stored(found.select("document_id").distinct(), "found")
+    return ordered(chunking.fixed_chunks(documents(spark, sf_dir).join(ids, "document_id", "left_semi"), WORDS, OVERLAP))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence mapped to chunks, stored: metrics read it several times."""
-    return stored(groundtruth.qrel_candidates(evidence(spark, sf_dir), chunks(spark, sf_dir)), "qrels")
+    """Evidence mapped to chunks, stored: metrics read it several times. Only documents with evidence are cut into chunks."""
+    held: list[str] = []
+    met = stored(groundtruth.mentions(questions(spark, sf_dir), documents(spark, sf_dir)), "mentions", held)
+    found = stored(groundtruth.qrel_candidates(_told(met), ordered(chunking.fixed_chunks(met.select("document_id", "text"), WORDS, OVERLAP))), "qrels")
+    dropped_tables(spark, held)
+    return found
 
 
 SQL_CHUNKS = r"""

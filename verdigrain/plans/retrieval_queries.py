@@ -9,7 +9,7 @@ from verdigrain.functions import text as tx
 from verdigrain.operators import chunking, embedding, inference, metrics, retrieval
 from verdigrain.plans import derived as d
 from verdigrain.plans.catalogue import register
-from verdigrain.session import table
+from verdigrain.session import dropped_tables, stored, table
 
 
 
@@ -245,8 +245,10 @@ SELECT query_id, parent_id, round(score, 6) AS score, best_child_id, best_child_
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = d.chunks(spark, sf_dir).select("chunk_id", "text", "start_position", "end_position", tx.word_count(F.col("text")).cast("bigint").alias("words"))
-    return d.run(spark, sf_dir).select("query_id", "chunk_id", "rank").join(own, "chunk_id")
+    """The run with the texts and places of its chunks, stored: it is read several times."""
+    run = d.run(spark, sf_dir)
+    own = d.found_chunks(spark, sf_dir, run).select("chunk_id", "text", "start_position", "end_position", tx.word_count(F.col("text")).cast("bigint").alias("words"), "document_id")
+    return stored(run.select("query_id", "chunk_id", "rank").join(own, "chunk_id"), "ranking")
 
 
 def context_budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,8 @@ SELECT query_id, chunk_id AS unit_id, rank, CAST(words AS BIGINT) AS words, CAST
 def context_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the context of each question holds its evidence, by question with the first document that has it."""
     first = d.evidence(spark, sf_dir).groupBy("query_id").agg(F.min(F.struct("document_id", "evidence_start", "evidence_end")).alias("e")).select("query_id", "e.*")
-    included = retrieval.context_by_truncation(_ranking(spark, sf_dir), 400).join(d.chunks(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id")
+    ranking = _ranking(spark, sf_dir)
+    included = retrieval.context_by_truncation(ranking, 400).join(ranking.select("chunk_id", "document_id").distinct(), "chunk_id")
     return metrics.context_delivery(included, first).select("query_id", "evidence_hit", F.col("words").cast("bigint").alias("words"), "units")
 
 
@@ -288,8 +291,12 @@ register("latency_summary", latency_summary, "SELECT event_type, count(value) AS
 
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own, qrels = d.postings(spark, sf_dir), _graded(spark, sf_dir)
-    return _metrics(spark, sf_dir, d.run(spark, sf_dir, own=own), qrels), _metrics(spark, sf_dir, d.run(spark, sf_dir, own=own, k1=0.2, b=0.0), qrels)
+    held: list[str] = []
+    own, qrels = d.postings(spark, sf_dir, held), _graded(spark, sf_dir)
+    runs = d.run(spark, sf_dir, own=own), d.run(spark, sf_dir, own=own, k1=0.2, b=0.0)
+    # both are stored
+    dropped_tables(spark, held)
+    return _metrics(spark, sf_dir, runs[0], qrels), _metrics(spark, sf_dir, runs[1], qrels)
 
 
 def _sql_two(tail: str) -> str:
