@@ -9,6 +9,7 @@ from verdigrain.operators import inference, metrics, retrieval
 from verdigrain.plans import derived as d
 from verdigrain.plans.catalogue import register
 from verdigrain.plans.retrieval_queries import SQL_METRICS, _clusters, _expected, _graded, _metrics, _ranking, _rounded, _strata, _two_runs, context_delivery, factorial_contrasts, failure_classes
+from verdigrain.session import dropped_tables
 
 #: Arms by their name: k1 and b.
 ARMS = {"fixed_independent": (1.2, 0.75), "fixed_contextual": (0.2, 0.0), "sac_independent": (1.2, 0.0), "sac_contextual": (0.2, 0.75)}
@@ -17,7 +18,8 @@ THREE = ("fixed_contextual", "fixed_independent", "sac_independent")
 
 def _scores(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(ARMS), documents: bool = False) -> DataFrame:
     """arm, query_id, metric, k, value at 5, of postings that are made once."""
-    own, qrels, out = d.postings(spark, sf_dir), _graded(spark, sf_dir), None
+    held: list[str] = []
+    own, qrels, out = d.postings(spark, sf_dir, held), _graded(spark, sf_dir), None
     for arm in names:
         run = d.run(spark, sf_dir, 10, own, k1=ARMS[arm][0], b=ARMS[arm][1])
         found = _metrics(spark, sf_dir, run, qrels).where("k = 5")
@@ -25,6 +27,8 @@ def _scores(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(ARM
             found = found.unionByName(metrics.document_metrics(_expected(spark, sf_dir), run, (5,)))
         found = found.withColumn("arm", F.lit(arm))
         out = found if out is None else out.unionByName(found)
+    # the runs are stored
+    dropped_tables(spark, held)
     return out
 
 
